@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lektor.llm import mixing, quality
+from lektor.llm import mixing, quality, token_files
 
 ORACLES: dict[str, str] = {"op1_mix": mixing.OP1_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (mixing.op1_mix, quality.op10_quality)}
+    return {f.__name__: f for f in (mixing.op1_mix, token_files.op8_token_files, quality.op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
