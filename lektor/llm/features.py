@@ -26,6 +26,23 @@ def _per_doc(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def stems(block: bt.Block, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, bucket, count): distinct hashed lower-case words, cut at ASCII punctuation, and their first four and five bytes."""
+    data = bt.lowered(block.data)
+    data = np.where(_OTHER[data] > 0, np.uint8(32), data)
+    starts, ends, first = bt.words(data, block.offsets)
+    sums = bt.prefix_sums(data)
+    doc = np.repeat(np.arange(len(block)), np.diff(first))
+    hashed, owner = [bt.span_hashes(sums, starts, ends)], [doc]
+    for k in (4, 5):
+        longer = ends - starts > k
+        hashed.append(bt.mix(bt.span_hashes(sums, starts[longer], starts[longer] + k) + np.uint64(k)))
+        owner.append(doc[longer])
+    key = (np.concatenate(owner).astype(np.int64) << bits) | (np.concatenate(hashed) >> np.uint64(64 - bits)).astype(np.int64)
+    key, count = np.unique(key, return_counts=True)
+    return np.searchsorted(key >> bits, np.arange(len(block) + 1)), key & ((1 << bits) - 1), count
+
+
 def rows(block: bt.Block, bits: int, meta_chars: np.ndarray | None = None, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first, bucket, count, structure) of a block: distinct hashed words of each document with their counts, and its statistics."""
     data, offsets, n = block.data, block.offsets, len(block)
@@ -53,7 +70,7 @@ def rows(block: bt.Block, bits: int, meta_chars: np.ndarray | None = None, lower
     return begin, (key & ((1 << bits) - 1)), count, structure
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, held_out: int | None, seed: int, bits: int) -> list:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, held_out: int | None, seed: int, bits: int, stemmed: bool = False) -> list:
     """Features of a bounded sample of labelled rows: at most ``per_class`` documents of each class, the first by a hash of their id.
 
     Rows whose crc32(doc_id) mod 4 is ``held_out`` are never taken. A document labelled more than once counts with its highest
@@ -75,7 +92,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         for batch in batches:
             for block in bt.blocks(batch.column(2)):
                 meta = batch.column(3).slice(block.lo, len(block)).to_numpy(zero_copy_only=False).astype(float)
-                begin, bucket, count, structure = rows(block, bits, meta)
+                begin, bucket, count, structure = (*stems(block, bits), np.zeros((len(block), 0))) if stemmed else rows(block, bits, meta)
                 y, ids_ = batch.column(1).slice(block.lo, len(block)), batch.column(0).slice(block.lo, len(block))
                 yield pa.RecordBatch.from_arrays([ids_, y, pa.array([bucket[a:b].astype(np.int32).tobytes() for a, b in zip(begin, begin[1:])], pa.binary()), pa.array([np.minimum(count[a:b], 65535).astype(np.uint16).tobytes() for a, b in zip(begin, begin[1:])], pa.binary()), pa.array([x.astype(np.float32).tobytes() for x in structure], pa.binary())], ["doc_id", "y", "b", "c", "s"])
 
