@@ -73,7 +73,7 @@ def allot(rows: DataFrame, per: DataFrame, lanes: int = LANES, seed: int = SEED)
     counts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
     run = Window.partitionBy("key").orderBy("band", "lane").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0))).join(per, "key").select(*cell, "before", "source_size", "source_docs", "target")
-    within = Window.partitionBy(*cell).orderBy("size", "doc_id")
+    within = Window.partitionBy(*cell).orderBy("size", "doc_id", "h")
     ranked = rows.withColumn("rank", F.row_number().over(within)).join(starts, cell)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0)
     upto = lambda k: F.floor(k.cast("double") * F.col("rate") + F.col("u"))
@@ -81,10 +81,15 @@ def allot(rows: DataFrame, per: DataFrame, lanes: int = LANES, seed: int = SEED)
     return ranked.withColumn("copies", (upto(F.col("at")) - upto(F.col("at") - 1)).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def source_key() -> F.Column:
+    """A key that orders as the sources do, null last."""
+    return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col("source").cast("string")))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, size), written once: the only pass over the texts. The key orders as the sources do, null last."""
-    key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col("source").cast("string")))
-    return tables.materialize(docs.select("doc_id", key.alias("key"), word_count(F.col("text").cast("string")).alias("size")), "mix-sizes")
+    """(doc_id, key, size, h), written once: one pass over the texts. h is a hash of the text."""
+    text = F.col("text").cast("string")
+    return tables.materialize(docs.select("doc_id", source_key().alias("key"), word_count(text).alias("size"), F.xxhash64(text).alias("h")), "mix-sizes")
 
 
 def mix_counts(docs: DataFrame, weights: tuple = WEIGHTS, factor: tuple = FACTOR, most: int = MOST) -> DataFrame:
@@ -93,16 +98,13 @@ def mix_counts(docs: DataFrame, weights: tuple = WEIGHTS, factor: tuple = FACTOR
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, factor: tuple = FACTOR, most: int = MOST) -> DataFrame:
-    """The mixture itself: every document as often as the sampling takes it. Where ids repeat, each row follows its id's mean share."""
-    got = mix_counts(docs, weights, factor, most)
-    turn = Window.partitionBy("doc_id", "key").orderBy("size", "copies")
-    got = got.select("doc_id", "key", "size", "copies").withColumn("_turn", F.row_number().over(turn))
-    source_key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col("source").cast("string")))
-    mine = Window.partitionBy("doc_id", "_key").orderBy("_size", F.xxhash64("text"))
-    rows = docs.withColumn("_key", source_key).withColumn("_size", word_count(F.col("text").cast("string"))).withColumn("_turn", F.row_number().over(mine))
-    got = got.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("_turn").alias("_t"), "copies")
-    joined = rows.join(got, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")) & (F.col("_turn") == F.col("_t")))
-    return joined.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The mixture itself: every document as often as the sampling takes it. Rows that repeat id, source and text share their copies."""
+    got = mix_counts(docs, weights, factor, most).groupBy("doc_id", "key", "h").agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0")
+    got = got.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("h").alias("_hash"), "_copies", "_rows")
+    rows = docs.withColumn("_key", source_key()).withColumn("_h", F.xxhash64(F.col("text").cast("string")))
+    joined = rows.join(got, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")) & (F.col("_h") == F.col("_hash")))
+    chosen = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(["_id", "_k", "_hash"]))
+    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

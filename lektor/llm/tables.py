@@ -55,6 +55,13 @@ def mark() -> int:
     return len(_LIVE)
 
 
+def take(since: int) -> list[str]:
+    """Paths of the tables written since ``mark``; the caller now sees to their removal."""
+    out = [path for _, path in _LIVE[since:]]
+    del _LIVE[since:]
+    return out
+
+
 @atexit.register
 def _at_exit() -> None:
     for spark, path in _LIVE:
