@@ -10,19 +10,16 @@ from lektor.functions import udf
 
 
 def contains_pairs(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str) -> DataFrame:
-    """Pairs in which the document holds the item's whole text.
+    """Pairs in which the document holds the item's whole text, for items of seven words or more.
 
-    Items and documents meet on the item's first five words, so the join hashes; the whole text is then compared.
+    Wherever such an item stands in a text, its words two to six stand there as whole words, so the join hashes on them before the whole text is
+    compared.
     """
-    def grams(t: str) -> Column:
-        words = F.split(F.col(t), " ")
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 5)))
-
-    a = docs.select(doc_key, F.col("text").alias("_hay"), F.explode(F.array_distinct(grams("text"))).alias("_g"))
-    b = items.select(item_key, F.col("text").alias("_needle"), F.xxhash64(F.slice(F.split("text", " "), 1, 5)).alias("_g"))
-    # a text that starts inside a line of words differs in its first word, so needles meet on words two to six as well
-    b2 = items.select(item_key, F.col("text").alias("_needle"), F.xxhash64(F.slice(F.split("text", " "), 2, 5)).alias("_g"))
-    return a.join(b.unionByName(b2), "_g").where(F.col("_hay").contains(F.col("_needle"))).select(doc_key, item_key).distinct()
+    words = F.split(F.col("text"), r"\s+")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(F.col("_w"), i, F.lit(5))))
+    a = docs.select(doc_key, F.col("text").alias("_hay"), words.alias("_w")).select(doc_key, "_hay", F.explode(F.array_distinct(grams)).alias("_g"))
+    b = items.select(item_key, F.col("text").alias("_needle"), F.xxhash64(F.slice(words, F.lit(2), F.lit(5))).alias("_g"))
+    return a.join(b, "_g").where(F.col("_hay").contains(F.col("_needle"))).select(doc_key, item_key).distinct()
 
 
 def gaps(items: DataFrame, hits: DataFrame, key: str) -> DataFrame:
