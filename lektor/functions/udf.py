@@ -8,9 +8,10 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition of Unicode text."""
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
@@ -19,7 +20,7 @@ def nfkc(text: pd.Series) -> pd.Series:
 def ratio(a: Column, b: Column, junk: bool = False) -> Column:
     """Ratcliff-Obershelp similarity; ``junk`` turns on the heuristic that ignores popular characters of long texts."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def apply(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([SequenceMatcher(None, p, q, autojunk=junk).ratio() if p is not None and q is not None else None for p, q in zip(x, y)], dtype="float64")
 
