@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lektor.llm import tables
 
-K, EVERY, ROW_BLOCK, QUERY_BLOCK, PLANES, EPSILON, SEED = 20, 20, 8192, 2048, 6, 2.0, 11
+K, EVERY, ROW_BLOCK, QUERY_BLOCK, PLANES, EPSILON, SEED = 20, 20, 8192, 2048, 6, 3.2, 11
 _rotations: dict[int, np.ndarray] = {}
 
 

@@ -409,15 +409,16 @@ def spans(docs: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated stretches taken out of the texts (and n_chars, where there is such a column, counted anew)."""
-    keyed = texts(docs)
+    rest = [c for c in docs.columns if c != "text"]
+    keyed = texts(docs.select(F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("_")).alias("row"), "text"))  # other columns keep out of the way
     lost = losses(keyed, True).select("t", "kept")
-    copies = keyed.where(F.octet_length("text") >= SPAN).groupBy("t").agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
+    copies = keyed.where(F.octet_length("text") >= SPAN).groupBy("t").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     fate = copies.join(lost, "t", "full")
-    text = F.when(F.col("_copies") > 1, F.lit("")).otherwise(F.coalesce("kept", "text"))
-    out = keyed.join(fate, "t", "left").withColumn("text", text)
+    out = keyed.join(fate, "t", "left").withColumn("text", F.when(F.col("copies") > 1, F.lit("")).otherwise(F.coalesce("kept", "text")))
+    own = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[own[c].alias(c) if c in own else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
