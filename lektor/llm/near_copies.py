@@ -9,9 +9,10 @@ only classes take part in the search.
    l shingles among their first ``n - need + l``. Each class takes the l of least estimated cost: postings scanned plus verifications, whose
    number shrinks as l grows. A pair whose lengths differ is a candidate when it shares the smaller l within the two prefixes: the longer
    prefix contains the shorter one, so no partner is lost. Classes that cannot have a partner at all leave here.
-3. Candidates are verified on the full lists of shared shingles (those of frequency one can't be shared). To keep groups of near copies
-   from making all their pairs, each shingle's classes are first paired only with its most central class and with the next one in that
-   order; what these pairs link becomes components. Then every candidate pair of different components is made and verified, so the
+3. Candidates are verified on the full lists of shared shingles (those of frequency one can't be shared, so a pair is no candidate when the
+   smaller list falls short of the overlap that the two sizes ask for). To keep groups of near copies from making all their pairs, classes are
+   first paired, under the ``SKETCH`` shingles of least hash in each, only with the most central class of the shingle and with the next one in
+   that order; what these pairs link becomes components. Then every candidate pair of different components is made and verified, so the
    components are exact while pairs inside a component, whose links cannot change it, are never made.
 
 Nothing is collected but counts; links and labels are tables in the shared folder. Hashes have 64 bits (48 for shingles on the way),
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from lektor.llm import bytetext as bt
 from lektor.llm import components, packing, tables
 
-WIDTH, PERCENT, MOST_MATCHES, VERIFY_COST, FLUSH = 5, 75, 8, 8.0, 1 << 21
+WIDTH, PERCENT, MOST_MATCHES, VERIFY_COST, SKETCH, FLUSH = 5, 75, 8, 8.0, 6, 1 << 21
 U = np.uint64
 
 
@@ -170,7 +171,7 @@ def prefix(n: int, df: np.ndarray) -> tuple[int, int]:
     return int(ls[best]), int(length[best])
 
 
-SET_SCHEMA = "k long, n int, l int, prefix int, centre double, tokens binary"
+SET_SCHEMA = "k long, n int, l int, prefix int, centre double, tokens binary, shared int"
 
 
 def _sets(counted: DataFrame) -> DataFrame:
@@ -191,36 +192,40 @@ def _sets(counted: DataFrame) -> DataFrame:
             stop = np.append(start[1:], len(key))
             alive = np.flatnonzero(stop - start >= need(n[start]))
             for lo in range(0, len(alive), 256):
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[] for _ in range(7)]
                 for i in alive[lo : lo + 256]:
                     a, b = start[i], stop[i]
                     l, p = prefix(int(n[a]), df[a:b])
-                    for column, x in zip(out, (int(key[a].view(np.int64)), int(n[a]), l, p, float(df[a:b].sum()) / float(n[a]), token[a:b].astype("<u8").tobytes())):
+                    for column, x in zip(out, (int(key[a].view(np.int64)), int(n[a]), l, p, float(df[a:b].sum()) / float(n[a]), token[a:b].astype("<u8").tobytes(), int(b - a))):
                         column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary()))], ["k", "n", "l", "prefix", "centre", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.int32()))], ["k", "n", "l", "prefix", "centre", "tokens", "shared"])
 
     return counted.mapInArrow(apply, SET_SCHEMA)
 
 
-def _postings(sets: DataFrame) -> DataFrame:
-    """(token, label, centre, k, n, l) of every shingle in a prefix. ``sets`` has a column label."""
+def _postings(sets: DataFrame, sketch: bool = False) -> DataFrame:
+    """(token, label, centre, k, n, l, shared) of every shingle in a prefix, or of the few shared shingles of least hash. ``sets`` has a column label."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                count = part.column(3).to_numpy()
-                token = np.concatenate([np.frombuffer(t.as_buffer(), "<i8", int(c)) for t, c in zip(part.column(5), count)])
-                row = np.repeat(np.arange(part.num_rows), count)
+                held = [np.frombuffer(t.as_buffer(), "<u8") for t in part.column(5)]
+                if sketch:
+                    held = [t[np.argpartition(bt.mix(t), SKETCH)[:SKETCH]] if len(t) > SKETCH else t for t in held]
+                else:
+                    held = [t[:c] for t, c in zip(held, part.column(3).to_numpy())]
+                token = np.concatenate(held).view(np.int64)
+                row = np.repeat(np.arange(part.num_rows), [len(t) for t in held])
                 take = lambda c: pa.array(part.column(c).to_numpy()[row])
-                yield pa.RecordBatch.from_arrays([pa.array(token), take(6), take(4), take(0), take(1), take(2)], ["token", "label", "centre", "k", "n", "l"])
+                yield pa.RecordBatch.from_arrays([pa.array(token), take(6), take(4), take(0), take(1), take(2), take(7)], ["token", "label", "centre", "k", "n", "l", "shared"])
 
-    return sets.select("k", "n", "l", "prefix", "centre", "tokens", "label").mapInArrow(apply, "token long, label long, centre double, k long, n int, l int")
+    return sets.select("k", "n", "l", "prefix", "centre", "tokens", "label", "shared").mapInArrow(apply, "token long, label long, centre double, k long, n int, l int, shared int")
 
 
-def _like(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sizes of which one is at least 75 per cent of the other."""
-    return 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
+def _like(na: np.ndarray, nb: np.ndarray, shared_a: np.ndarray, shared_b: np.ndarray) -> np.ndarray:
+    """Whether sizes and numbers of shared shingles allow the similarity: the overlap has to reach PERCENT / (100 + PERCENT) of both sizes together."""
+    return (100 + PERCENT) * np.minimum(shared_a, shared_b).astype(np.int64) >= PERCENT * (na.astype(np.int64) + nb)
 
 
 PAIRS = "a long, b long, hits long, l int"
@@ -240,13 +245,13 @@ def _central_pairs(postings: DataFrame) -> DataFrame:
     """Pairs of each class with the most central class of the shingle and with the one before it; rows stream by."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = before = None  # (token, k, n, l)
+        head = before = None  # (token, k, n, l, shared)
         for batch in batches:
-            token, _, _, k, n, l = (batch.column(c).to_numpy() for c in range(6))
+            token, _, _, k, n, l, shared = (batch.column(c).to_numpy() for c in range(7))
             if not len(token):
                 continue
             if before is not None:
-                token, k, n, l = (np.concatenate([[h, p], x]) for h, p, x in zip(head, before, (token, k, n, l)))
+                token, k, n, l, shared = (np.concatenate([[h, p], x]) for h, p, x in zip(head, before, (token, k, n, l, shared)))
             index = np.arange(len(token))
             new = np.append(True, token[1:] != token[:-1])
             pivot = np.maximum.accumulate(np.where(new, index, 0))
@@ -254,12 +259,12 @@ def _central_pairs(postings: DataFrame) -> DataFrame:
             pairs = [(pivot, fresh & ~new), (index - 1, fresh & ~new & (index - 1 != pivot))]
             a = np.concatenate([p[m] for p, m in pairs])
             b = np.concatenate([index[m] for _, m in pairs])
-            ok = _like(n[a], n[b]) & (k[a] != k[b])
+            ok = _like(n[a], n[b], shared[a], shared[b]) & (k[a] != k[b])
             a, b = a[ok], b[ok]
-            if (out := _pairs_table(k[a], k[b], np.minimum(l[a], l[b]))) is not None:
+            if (out := _pairs_table(k[a], k[b], np.ones(len(a), np.int32))) is not None:
                 yield out
             last, first = len(token) - 1, pivot[-1]
-            head, before = tuple(x[first] for x in (token, k, n, l)), tuple(x[last] for x in (token, k, n, l))
+            head, before = tuple(x[first] for x in (token, k, n, l, shared)), tuple(x[last] for x in (token, k, n, l, shared))
 
     return postings.mapInArrow(apply, PAIRS)
 
@@ -271,15 +276,15 @@ def _cross_pairs(postings: DataFrame) -> DataFrame:
         held: list[tuple] = []
         size = 0
         for _, rows in packing.groups(batches):
-            label, k, n, l = (np.concatenate([b.column(c).to_numpy() for b in rows]) for c in (1, 3, 4, 5))
+            label, k, n, l, shared = (np.concatenate([b.column(c).to_numpy() for b in rows]) for c in (1, 3, 4, 5, 6))
             if label[0] == label[-1]:  # sorted by component within the shingle
                 continue
             order = np.argsort(n, kind="stable")
-            label, k, n, l = label[order], k[order], n[order], l[order]
+            label, k, n, l, shared = label[order], k[order], n[order], l[order], shared[order]
             upto = np.searchsorted(n, (100 * n.astype(np.int64)) // PERCENT, "right")
             for i in range(len(k)):
                 span = slice(i + 1, upto[i])
-                other = np.flatnonzero(label[span] != label[i]) + i + 1
+                other = np.flatnonzero((label[span] != label[i]) & _like(n[span], n[i : i + 1], shared[span], shared[i : i + 1])) + i + 1
                 if len(other):
                     held.append((np.full(len(other), k[i]), k[other], np.minimum(l[other], l[i])))
                     size += len(other)
@@ -317,12 +322,12 @@ def link(docs: DataFrame) -> DataFrame:
     sent = _send(docs.where(F.col("doc_id").isNotNull()), slots).repartitionById(slots, F.col("slot")).sortWithinPartitions("slot")
     counted = _count(sent, slots).repartitionById(slots, F.col("slot")).sortWithinPartitions("slot")
     sets = tables.materialize(_sets(counted), "near-sets")
-    by_token = lambda s: _postings(s).repartition(slots, "token")
-    start = by_token(sets.withColumn("label", F.col("k"))).sortWithinPartitions("token", F.col("centre").desc(), "k")
+    by_token = lambda s, sketch: _postings(s, sketch).repartition(slots, "token")
+    start = by_token(sets.withColumn("label", F.col("k")), True).sortWithinPartitions("token", F.col("centre").desc(), "k")
     links = tables.materialize(_verified(_central_pairs(start), sets), "near-links")
     labels = components.components(links)
     labelled = sets.join(labels.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("component", "k"))
-    rest = by_token(labelled).sortWithinPartitions("token", "label")
+    rest = by_token(labelled, False).sortWithinPartitions("token", "label")
     more = tables.materialize(_verified(_cross_pairs(rest), sets), "near-links")
     if not more.isEmpty():
         links = links.unionAll(more)
