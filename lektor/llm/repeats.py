@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from lektor.llm import bytetext as bt
 from lektor.llm import packing, suffix_sort, tables
 
-SPAN, GRAM, FLUSH = 200, 100, 1 << 20
+SPAN, GRAM, FLUSH = 200, 100, 1 << 19
 SIDE = SPAN - GRAM
 U = np.uint64
 _MOST = U(2**64 - 1)
@@ -73,20 +73,31 @@ def anchors(block: bt.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.searchsorted(offsets, at, "right") - 1, at, hashed[at]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _long(docs: DataFrame) -> DataFrame:
+    return docs.where(F.octet_length("text") >= SPAN).select("t", "text")
+
+
+def _new(keys: list, seen: set) -> np.ndarray:
+    """Which keys are seen for the first time."""
+    out = np.zeros(len(keys), bool)
+    for i, t in enumerate(keys):
+        if t not in seen:
+            seen.add(t)
+            out[i] = True
+    return out
+
+
+def _once(docs: DataFrame) -> DataFrame:
     """(t, text) of the texts long enough, each at most once a task."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            fresh = []
-            for t in batch.column(0).to_pylist():
-                fresh.append(t not in seen)
-                seen.add(t)
-            if any(fresh):
-                yield batch.filter(pa.array(fresh))
+            fresh = _new(batch.column(0).to_pylist(), seen)
+            if fresh.any():
+                yield batch if fresh.all() else batch.filter(pa.array(fresh))
 
-    return docs.where(F.octet_length("text") >= SPAN).select("t", "text").mapInArrow(apply, "t long, text string")
+    return _long(docs).mapInArrow(apply, "t long, text string")
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -99,6 +110,7 @@ def _send(rows: DataFrame, n_slots: int) -> DataFrame:
     """(slot, blob): anchor hashes by range, with their text and whether they repeat in it."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         held: list[tuple] = []
         size = 0
 
@@ -117,9 +129,13 @@ def _send(rows: DataFrame, n_slots: int) -> DataFrame:
 
         for batch in batches:
             keys = batch.column(0).to_numpy()
+            fresh = _new(keys.tolist(), seen)
             for block in bt.blocks(batch.column(1)):
+                if not fresh[block.lo : block.hi].any():
+                    continue
                 doc, _, hashed = anchors(block)
-                token = hashed >> U(16)
+                first = fresh[block.lo + doc]
+                doc, token = doc[first], hashed[first] >> U(16)
                 order = np.lexsort((token, doc))
                 doc, token = doc[order], token[order]
                 new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (token[1:] != token[:-1]))) if len(doc) else np.zeros(0, int)
@@ -382,10 +398,9 @@ def losses(keyed: DataFrame, with_text: bool) -> DataFrame:
     """What each text loses, from ``texts``: (t, n_removed, n_spans, kept_sha256[, kept]) of those that lose anything while occurring once."""
     spark = keyed.sparkSession
     slots = tables.width(spark)
-    rows = _keyed(keyed)
-    sent = _send(rows, slots).repartitionById(slots, F.col("slot")).sortWithinPartitions("slot")
+    sent = _send(_long(keyed), slots).repartitionById(slots, F.col("slot")).sortWithinPartitions("slot")
     repeated = _repeated(sent, slots)
-    found = tables.materialize(_contexts(rows, repeated, slots), "repeat-contexts")
+    found = tables.materialize(_contexts(_once(keyed), repeated, slots), "repeat-contexts")
     blobs = found.where("kind = 2").select("slot", "blob").repartitionById(slots, F.col("slot")).sortWithinPartitions("slot")
     places = found.where("kind = 3").select("t", F.explode(F.arrays_zip("c", "pos")).alias("p")).select("t", "p.c", "p.pos")
     spans = places.join(_resolve(blobs), "c").select("t", (F.col("pos") - F.col("l")).alias("lo"), (F.col("pos") + GRAM + F.col("r")).alias("hi"))
