@@ -27,9 +27,15 @@ def ratio(a: Column, b: Column, junk: bool = False) -> Column:
     return apply(a, b)
 
 
-def ratio_bound(a: Column, b: Column) -> Column:
-    """An upper bound of ``ratio`` from the texts' characters, in the JVM: prefilter pairs with it."""
-    letters = lambda s: F.array_distinct(F.split(s, ""))
-    count = lambda s, ch: F.length(s) - F.length(F.replace(s, ch, F.lit("")))
-    shared = F.aggregate(letters(a), F.lit(0), lambda acc, ch: acc + F.least(count(a, ch), count(b, ch)))
-    return F.when(F.length(a) + F.length(b) == 0, 1.0).otherwise(2.0 * shared / (F.length(a) + F.length(b)))
+def letter_counts(text: Column) -> Column:
+    """How often each of a to z occurs, case aside, and last how many other characters there are."""
+    low = F.lower(text)
+    counts = [F.length(low) - F.length(F.replace(low, F.lit(chr(c)), F.lit(""))) for c in range(97, 123)]
+    known = F.array(*counts)
+    return F.concat(known, F.array(F.greatest(F.length(text) - F.aggregate(known, F.lit(0), lambda x, y: x + y), F.lit(0))))
+
+
+def ratio_bound(a_counts: Column, a_length: Column, b_counts: Column, b_length: Column) -> Column:
+    """An upper bound of ``ratio`` from the texts' letter counts, in the JVM: prefilter pairs with it."""
+    shared = F.aggregate(F.zip_with(a_counts, b_counts, lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    return F.when(a_length + b_length == 0, 1.0).otherwise(2.0 * shared / (a_length + b_length))

@@ -43,11 +43,11 @@ def similar_lines(left: DataFrame, right: DataFrame, least: float, junk: bool =
     ratio runs in Arrow batches.
     """
     width = 16
-    x = left.withColumn("_c", F.floor(F.length("x") / width))
+    x = left.withColumn("_c", F.floor(F.length("x") / width)).withColumn("_x", udf.letter_counts(F.col("x")))
     span = F.sequence(F.floor(F.length("y") * least / (2 - least) / width), F.floor(F.length("y") * (2 - least) / least / width))
-    y = right.withColumn("_c", F.explode(span))
-    pairs = x.join(y, "_c").drop("_c").where(udf.ratio_bound(F.col("x"), F.col("y")) >= least)
-    pairs = pairs.repartition("a")
+    y = right.withColumn("_c", F.explode(span)).withColumn("_y", udf.letter_counts(F.col("y")))
+    bound = udf.ratio_bound(F.col("_x"), F.length("x"), F.col("_y"), F.length("y"))
+    pairs = x.join(y, "_c").where(bound >= least).select("a", "x", "b", "y").repartition("a")
     return pairs.withColumn("ratio", udf.ratio(F.col("x"), F.col("y"), junk)).where(F.col("ratio") >= least).select("a", "b", "ratio")
 
 

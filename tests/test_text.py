@@ -45,7 +45,7 @@ def test_colours(spark):
 
 def test_ratio_and_bound(spark):
     rows = spark.createDataFrame([("abcd", "abxd"), ("", ""), ("aa", "ab"), ("kitten", "sitting")], "a string, b string")
-    for r in rows.select(udf.ratio(F.col("a"), F.col("b")).alias("r"), udf.ratio_bound(F.col("a"), F.col("b")).alias("m")).collect():
+    for r in rows.select(udf.ratio(F.col("a"), F.col("b")).alias("r"), udf.ratio_bound(udf.letter_counts(F.col("a")), F.length("a"), udf.letter_counts(F.col("b")), F.length("b")).alias("m")).collect():
         assert r.r <= r.m + 1e-12
 
 
