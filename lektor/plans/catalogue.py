@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lektor.functions import text as T
 from lektor.functions import udf
-from lektor.operators import matching, segments, status
+from lektor.operators import assisted, matching, packing, segments, sinks, status
 from lektor.sources.tables import paragraphs, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -495,3 +495,55 @@ def tumbling_events(spark, d):
 def session_events(spark, d):
     s = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count(F.lit(1)).alias("c"))
     return s.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("c").alias("n"))
+
+
+# budgets, colours, notes and quotes
+
+
+@query("""WITH r AS (SELECT source, doc_id, n_chars AS size, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+ count(*) OVER (PARTITION BY source) - row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) + 1 AS rest FROM documents),
+ l AS (SELECT *, floor((12000 - before) / rest) AS level FROM r), m AS (SELECT source, max(level) FILTER (size > level) AS level FROM l GROUP BY source)
+ SELECT source, doc_id, least(size, coalesce(level, size))::BIGINT AS share FROM r JOIN m USING (source)""")
+def budget_fit(spark, d):
+    rows = table(spark, d, "documents").select("source", "doc_id", F.col("n_chars").alias("size"))
+    return packing.fitted(rows, "source", "doc_id", "size", 12000).select("source", "doc_id", F.col("share").cast("long").alias("share"))
+
+
+@query()
+def chunk_pack(spark, d):
+    """Lines packed to 7000 characters with two lines of overlap: a fold over all lines before, so rows only."""
+    return packing.chunks(_lines(spark, d).select("doc_id", "idx", "line"), "doc_id", "idx", "line", 7000)
+
+
+@query("""WITH c AS (SELECT range AS n, range % 256 AS r, (range * 7) % 256 AS g, (range * 13) % 256 AS b FROM range(0, 4096)) SELECT n, printf('%02X%02X%02X', r, g, b) AS hex, r >= 200 AND g >= 190 AND b <= 170 AS yellow,
+ greatest(r, g, b) - least(r, g, b) <= 14 AS grey FROM c""")
+def colour_kinds(spark, d):
+    n = F.col("id")
+    two = lambda x: F.lpad(F.hex(x), 2, "0")
+    rows = spark.range(4096).select(n.alias("n"), F.concat(two(n % 256), two(n * 7 % 256), two(n * 13 % 256)).alias("hex"))
+    return rows.select("n", "hex", T.is_yellow(F.col("hex")).alias("yellow"), T.is_grey(F.col("hex")).alias("grey"))
+
+
+@query(f"""WITH {_FINDINGS}, n AS (SELECT DISTINCT doc, CASE status WHEN 'fail' THEN 0 WHEN 'needs_review' THEN 1 ELSE 2 END AS r, code,
+ CASE status WHEN 'fail' THEN 'To fix: ' WHEN 'needs_review' THEN 'Please check: ' ELSE 'OK: ' END || message || ' [' || code || ']' AS line FROM findings WHERE status <> 'na') SELECT doc, string_agg(line, chr(10) ORDER BY r, code, line) AS note FROM n GROUP BY doc""")
+def notes_text(spark, d):
+    return sinks.notes(_findings(spark, d))
+
+
+@query(r"""WITH q AS (SELECT c.conv_id, c.turn, trim(regexp_replace(lower(left(c.text, 40)), '[^a-z0-9]+', ' ', 'g')) AS f, trim(regexp_replace(lower(d.text), '[^a-z0-9]+', ' ', 'g')) AS m
+ FROM conversations c JOIN documents d ON d.doc_id = c.conv_id) SELECT conv_id, turn, length(f) >= 8 AND contains(m, f) AS kept FROM q""")
+def verify_quotes(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("material"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.left("text", F.lit(40)).alias("quote")).join(docs, "conv_id")
+    return assisted.quoted(rows.withColumn("quote", F.regexp_replace("quote", r"\.\.\.|…", " ")), "quote", "material").select("conv_id", "turn", "kept")
+
+
+@query("SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY ALL) GROUP BY conv_id")
+def distinct_in_order(spark, d):
+    first = table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("first"))
+    return first.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "role"))), lambda r: r["role"]), ",").alias("roles"))
+
+
+@query("SELECT doc_id, sha1(text) AS digest FROM documents")
+def content_digest(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha1("text").alias("digest"))
