@@ -277,7 +277,10 @@ def _contexts(rows: DataFrame, repeated: DataFrame, n_slots: int) -> DataFrame:
 
 
 def stretches(h: np.ndarray, c: np.ndarray, l: np.ndarray, r: np.ndarray, count: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, bytes to the left, bytes to the right of the gram) that occur elsewhere, from distinct contexts grouped by anchor hash h (ascending)."""
+    """(context, bytes to the left, bytes to the right of the gram) that occur elsewhere, from distinct contexts grouped by anchor hash h (ascending).
+
+    Every stretch of a context holds the anchor's gram, so their union is one stretch: the farthest left and the farthest right of them.
+    """
     l, r = l.astype(np.int64), r.astype(np.int64)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     whole = (count > 1) & (l + r >= SIDE)
@@ -289,7 +292,7 @@ def stretches(h: np.ndarray, c: np.ndarray, l: np.ndarray, r: np.ndarray, count:
     c, l, r, body = c[keep], l[keep], r[keep], body[keep]
     group = np.repeat(np.arange(int((size > 1).sum())), size[size > 1])
     if not len(group):
-        return tuple(np.concatenate(x) for x in zip(*out))
+        return _widest(out)
     before, after = np.ascontiguousarray(body[:, :SIDE]), np.ascontiguousarray(body[:, SIDE:])
     left = suffix_sort.sort(before, l, group)
     left_common = suffix_sort.neighbours_common(before, l, left)
@@ -332,7 +335,15 @@ def stretches(h: np.ndarray, c: np.ndarray, l: np.ndarray, r: np.ndarray, count:
                 stack.append((low, first))
     if found_c:
         out.append((np.array(found_c, np.uint64), np.array(found_l), np.array(found_r)))
-    return tuple(np.concatenate(x) for x in zip(*out))
+    return _widest(out)
+
+
+def _widest(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    c, l, r = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(c, kind="stable")
+    c, l, r = c[order], l[order], r[order]
+    start = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
+    return (c[start], np.maximum.reduceat(l, start), np.maximum.reduceat(r, start)) if len(c) else (c, l, r)
 
 
 def _resolve(blobs: DataFrame) -> DataFrame:
