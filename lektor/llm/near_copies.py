@@ -13,7 +13,8 @@ only classes take part in the search.
    smaller list falls short of the overlap that the two sizes ask for). To keep groups of near copies from making all their pairs, classes are
    first paired, under the ``SKETCH`` shingles of least hash in each, only with the most central class of the shingle and with the next one in
    that order; what these pairs link becomes components. Then every candidate pair of different components is made and verified, so the
-   components are exact while pairs inside a component, whose links cannot change it, are never made.
+   components are exact while pairs inside a component, whose links cannot change it, are never made. Before a pair is made, histograms of
+   the two shared lists over ``BINS`` hash bins bound their overlap from above: the sum of the smaller counts.
 
 Nothing is collected but counts; links and labels are tables in the shared folder. Hashes have 64 bits (48 for shingles on the way),
 so results are exact but for collisions.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from lektor.llm import bytetext as bt
 from lektor.llm import components, packing, tables
 
-WIDTH, PERCENT, MOST_MATCHES, VERIFY_COST, SKETCH, FLUSH = 5, 75, 8, 8.0, 6, 1 << 21
+WIDTH, PERCENT, MOST_MATCHES, VERIFY_COST, SKETCH, BINS, FLUSH = 5, 75, 8, 8.0, 6, 64, 1 << 21
 U = np.uint64
 
 
@@ -171,7 +172,13 @@ def prefix(n: int, df: np.ndarray) -> tuple[int, int]:
     return int(ls[best]), int(length[best])
 
 
-SET_SCHEMA = "k long, n int, l int, prefix int, centre double, tokens binary, shared int"
+def _bins(tokens: np.ndarray) -> bytes:
+    """Histogram over hash bins; all 255 where a count doesn't fit a byte, which bounds nothing."""
+    count = np.bincount((bt.mix(tokens + U(1)) % U(BINS)).astype(np.int64), minlength=BINS)
+    return (count if count.max() < 255 else np.full(BINS, 255)).astype(np.uint8).tobytes()
+
+
+SET_SCHEMA = "k long, n int, l int, prefix int, centre double, tokens binary, shared int, bins binary"
 
 
 def _sets(counted: DataFrame) -> DataFrame:
@@ -192,13 +199,13 @@ def _sets(counted: DataFrame) -> DataFrame:
             stop = np.append(start[1:], len(key))
             alive = np.flatnonzero(stop - start >= need(n[start]))
             for lo in range(0, len(alive), 256):
-                out: list[list] = [[] for _ in range(7)]
+                out: list[list] = [[] for _ in range(8)]
                 for i in alive[lo : lo + 256]:
                     a, b = start[i], stop[i]
                     l, p = prefix(int(n[a]), df[a:b])
-                    for column, x in zip(out, (int(key[a].view(np.int64)), int(n[a]), l, p, float(df[a:b].sum()) / float(n[a]), token[a:b].astype("<u8").tobytes(), int(b - a))):
+                    for column, x in zip(out, (int(key[a].view(np.int64)), int(n[a]), l, p, float(df[a:b].sum()) / float(n[a]), token[a:b].astype("<u8").tobytes(), int(b - a), _bins(token[a:b]))):
                         column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.int32()))], ["k", "n", "l", "prefix", "centre", "tokens", "shared"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.int32(), pa.binary()))], ["k", "n", "l", "prefix", "centre", "tokens", "shared", "bins"])
 
     return counted.mapInArrow(apply, SET_SCHEMA)
 
@@ -218,9 +225,9 @@ def _postings(sets: DataFrame, sketch: bool = False) -> DataFrame:
                 token = np.concatenate(held).view(np.int64)
                 row = np.repeat(np.arange(part.num_rows), [len(t) for t in held])
                 take = lambda c: pa.array(part.column(c).to_numpy()[row])
-                yield pa.RecordBatch.from_arrays([pa.array(token), take(6), take(4), take(0), take(1), take(2), take(7)], ["token", "label", "centre", "k", "n", "l", "shared"])
+                yield pa.RecordBatch.from_arrays([pa.array(token), take(6), take(4), take(0), take(1), take(2), take(7), part.column(8).take(pa.array(row))], ["token", "label", "centre", "k", "n", "l", "shared", "bins"])
 
-    return sets.select("k", "n", "l", "prefix", "centre", "tokens", "label", "shared").mapInArrow(apply, "token long, label long, centre double, k long, n int, l int, shared int")
+    return sets.select("k", "n", "l", "prefix", "centre", "tokens", "label", "shared", F.lit(b"").alias("bins") if sketch else "bins").mapInArrow(apply, "token long, label long, centre double, k long, n int, l int, shared int, bins binary")
 
 
 def _like(na: np.ndarray, nb: np.ndarray, shared_a: np.ndarray, shared_b: np.ndarray) -> np.ndarray:
@@ -281,10 +288,16 @@ def _cross_pairs(postings: DataFrame) -> DataFrame:
                 continue
             order = np.argsort(n, kind="stable")
             label, k, n, l, shared = label[order], k[order], n[order], l[order], shared[order]
+            bins = np.frombuffer(b"".join(x.as_py() for b in rows for x in b.column(7)), np.uint8).reshape(-1, BINS)[order]
+            boundless = bins[:, 0] == 255
             upto = np.searchsorted(n, (100 * n.astype(np.int64)) // PERCENT, "right")
             for i in range(len(k)):
                 span = slice(i + 1, upto[i])
                 other = np.flatnonzero((label[span] != label[i]) & _like(n[span], n[i : i + 1], shared[span], shared[i : i + 1])) + i + 1
+                if len(other):
+                    bound = np.minimum(bins[other], bins[i]).sum(1, dtype=np.int64)
+                    near = (100 + PERCENT) * bound >= PERCENT * (n[other].astype(np.int64) + n[i])
+                    other = other[near | boundless[other] | boundless[i]]
                 if len(other):
                     held.append((np.full(len(other), k[i]), k[other], np.minimum(l[other], l[i])))
                     size += len(other)
