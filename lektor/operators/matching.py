@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from lektor.functions import similar
 from lektor.functions import text as T
-from lektor.functions import udf
+
+RIGHT_BLOCK = 10_000
 
 
 def contains_pairs(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str) -> DataFrame:
@@ -37,18 +42,31 @@ def title_votes(left: DataFrame, right: DataFrame, left_key: str, right_key: str
 
 
 def similar_lines(left: DataFrame, right: DataFrame, least: float, junk: bool = False) -> DataFrame:
-    """Pairs (a, b, ratio) of lines at or above a Ratcliff-Obershelp ratio. ``left`` has (a, x), ``right`` (b, y).
+    """Pairs (a, b, ratio) of lines at or above a Ratcliff-Obershelp ratio. ``left`` has (a, x), ``right`` (b, y); null lines are in no pair.
 
-    Lines of a length class meet those of the classes that the ratio allows; the character bound, in the JVM, clears most pairs before the exact
-    ratio runs in Arrow batches.
+    Lines of every length take part. The right side goes to the workers in blocks of RIGHT_BLOCK lines, one pass over the left side each; upper
+    bounds of the ratio (lengths, letters, neighbouring letters, longest common subsequence) clear most pairs before the exact ratio.
     """
-    width = 16
-    x = left.withColumn("_c", F.floor(F.length("x") / width)).withColumn("_x", udf.letter_counts(F.col("x")))
-    span = F.sequence(F.floor(F.length("y") * least / (2 - least) / width), F.floor(F.length("y") * (2 - least) / least / width))
-    y = right.withColumn("_c", F.explode(span)).withColumn("_y", udf.letter_counts(F.col("y")))
-    bound = udf.ratio_bound(F.col("_x"), F.length("x"), F.col("_y"), F.length("y"))
-    pairs = x.join(y, "_c").where(bound >= least).select("a", "x", "b", "y").repartition("a")
-    return pairs.withColumn("ratio", udf.ratio(F.col("x"), F.col("y"), junk)).where(F.col("ratio") >= least).select("a", "b", "ratio")
+    spark, schema = left.sparkSession, StructType([StructField("a", left.schema["a"].dataType), StructField("b", right.schema["b"].dataType), StructField("ratio", DoubleType())])
+    x = left.where("x is not null").select("a", "x")
+    found, block = [], []
+
+    def scan() -> DataFrame:
+        lines = similar.Lines([r.y for r in block], least, junk)
+        keys, shared = [r.b for r in block], spark.sparkContext.broadcast(lines)
+        numbers = spark.createDataFrame(list(enumerate(keys)), StructType([StructField("_j", IntegerType()), StructField("b", right.schema["b"].dataType)]))
+        shortest, longest = lines.spans()
+        hits = x.where(F.length("x").between(shortest, longest)).mapInArrow(similar.scan(shared), StructType([schema["a"], StructField("_j", IntegerType()), schema["ratio"]]))
+        return hits.join(F.broadcast(numbers), "_j").select("a", "b", "ratio")
+
+    for row in right.where("y is not null").select("b", "y").toLocalIterator():
+        block.append(row)
+        if len(block) == RIGHT_BLOCK:
+            found.append(scan())
+            block = []
+    if block:
+        found.append(scan())
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
 
 
 def terms(docs: DataFrame, key: str) -> DataFrame:

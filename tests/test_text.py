@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lektor.functions import text as T
 from lektor.functions import udf
 from lektor.operators import matching, segments, status
+from lektor.plans import catalogue
 
 
 def one(spark, value, f, kind="string"):
@@ -60,6 +61,26 @@ def test_similar_lines_keeps_all(spark):
     assert {(r.a, r.b) for r in got.collect()} == want
 
 
+def test_near_duplicate_at_any_length(spark, tmp_path):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(1, 8))) for _ in range(60)]
+    items = [" ".join(rng.choices(words, k=k)) for k in (1, 1, 2, 3, 8, 30, 90, 120, 300)] + ["x" * 272, "日本語 abc"]
+    lines = list(items) + ["x" * 368, "x" * 369]
+    for line in items:
+        for share in (0.03, 0.08, 0.15, 0.3):
+            lines.append("".join(rng.choice("abcxyz ") if rng.random() < share else ch for ch in line).strip())
+    lines = [s for s in lines if s]
+    spark.createDataFrame([(7, "\n".join(lines), "en", "a")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = {(i, j): SequenceMatcher(None, x, y, autojunk=False).ratio() for i, x in enumerate(lines) for j, y in enumerate(items)}
+    got = catalogue.near_duplicate(spark, str(tmp_path)).collect()
+    assert {(r.idx, r.item_id): r.ratio for r in got} == {k: r for k, r in want.items() if r >= 0.85} and len(got) == sum(r >= 0.85 for r in want.values())
+    assert (9, 9) in want and want[(len(items), 9)] == 0.85
+
+
 @pytest.mark.parametrize("statuses, want", [([("pass", False), ("na", False)], "pass"), ([("pass", True)], None), ([("fail", False), ("pass", False)], "fail"), ([("na", False)], "na"), ([("needs_review", False), ("pass", False)], None)])
 def test_fold(spark, statuses, want):
     rows = spark.createDataFrame([("k", s, p) for s, p in statuses], "k string, status string, partial boolean")
