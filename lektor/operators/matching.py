@@ -11,20 +11,35 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from lektor.functions import similar
 from lektor.functions import text as T
 
-RIGHT_BLOCK = 10_000
+RIGHT_BLOCK, SHORT_BLOCK = 10_000, 1_000
 
 
 def contains_pairs(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str) -> DataFrame:
-    """Pairs in which the document holds the item's whole text, for items of seven words or more.
+    """Pairs in which the document holds the item's whole text.
 
-    Wherever such an item stands in a text, its words two to six stand there as whole words, so the join hashes on them before the whole text is
-    compared.
+    Wherever an item of seven words or more stands in a text, its words two to six stand there as whole words, so the join hashes on them before
+    the whole text is compared. Shorter items go to every task in blocks of SHORT_BLOCK; each text is read once a block. An empty item is in every
+    text.
     """
     words = F.split(F.col("text"), r"\s+")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(F.col("_w"), i, F.lit(5))))
     a = docs.select(doc_key, F.col("text").alias("_hay"), words.alias("_w")).select(doc_key, "_hay", F.explode(F.array_distinct(grams)).alias("_g"))
-    b = items.select(item_key, F.col("text").alias("_needle"), F.xxhash64(F.slice(words, F.lit(2), F.lit(5))).alias("_g"))
-    return a.join(b, "_g").where(F.col("_hay").contains(F.col("_needle"))).select(doc_key, item_key).distinct()
+    needles = items.select(item_key, F.col("text").alias("_needle"), words.alias("_v")).where("_needle is not null")
+    b = needles.where(F.size("_v") >= 7).select(item_key, "_needle", F.xxhash64(F.slice(F.col("_v"), F.lit(2), F.lit(5))).alias("_g"))
+    found = a.join(b, "_g").where(F.col("_hay").contains(F.col("_needle"))).select(doc_key, item_key)
+    short, block = needles.where(F.size("_v") < 7).select(item_key, "_needle"), []
+    for row in short.toLocalIterator():
+        block.append(row)
+        if len(block) == SHORT_BLOCK:
+            found, block = found.unionAll(_short_pairs(docs, doc_key, block, short)), []
+    if block:
+        found = found.unionAll(_short_pairs(docs, doc_key, block, short))
+    return found.distinct()
+
+
+def _short_pairs(docs: DataFrame, doc_key: str, block: list, short: DataFrame) -> DataFrame:
+    rows = docs.sparkSession.createDataFrame(block, short.schema)
+    return docs.join(F.broadcast(rows), F.col("text").contains(F.col("_needle"))).select(doc_key, short.columns[0])
 
 
 def gaps(items: DataFrame, hits: DataFrame, key: str) -> DataFrame:

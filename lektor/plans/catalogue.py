@@ -358,8 +358,9 @@ def grain_rollup(spark, d):
 def coverage_matrix(spark, d):
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     hits = matching.contains_pairs(docs, items, "doc_id", "item_id").join(docs.select("doc_id", "lang"), "doc_id").groupBy("item_id", "lang").agg(F.count(F.lit(1)).alias("hits"))
-    every = items.select("item_id", F.explode(F.array(*map(F.lit, ("de", "en", "es", "fr")))).alias("lang"))
-    return every.join(hits, ["item_id", "lang"], "left").select("item_id", "lang", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
+    every = items.select("item_id").crossJoin(F.broadcast(docs.select(F.col("lang").alias("_lang")).distinct()))  # a row a language, null included
+    hits = hits.withColumnRenamed("item_id", "_item")
+    return every.join(hits, (F.col("item_id") == F.col("_item")) & F.col("_lang").eqNullSafe(F.col("lang")), "left").select("item_id", F.col("_lang").alias("lang"), F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
 
 
 @query("SELECT item_id FROM benchmark i WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, i.text))")

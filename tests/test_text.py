@@ -1,5 +1,6 @@
 """Literal pairs for the text scalars."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,21 @@ def test_near_duplicate_at_any_length(spark, tmp_path):
     assert (9, 9) in want and want[(len(items), 9)] == 0.85
 
 
+def test_coverage_of_short_items_and_any_language(spark, tmp_path):
+    texts = [("a b c d e f g h i", "it"), ("xa b c d ey\nabc", None), ("one two three four five sixth", "de"), (None, "fr"), ("", "it"), ("  lead a b ", "de")]
+    items = ["abc", "b c d e", "one two three four five six", "a b c d e f g h", "nowhere", " a b", "e f g h i j k", None]
+    docs = [(i, t, lang, "s") for i, (t, lang) in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("coverage_matrix", "coverage_gaps", "marks_locate"):
+        got = catalogue.queries()[name](spark, str(tmp_path))
+        want = con.sql(catalogue.oracle_sql()[name])
+        assert sorted(map(str, (tuple(r[c] for c in want.columns) for r in got.collect()))) == sorted(map(str, want.fetchall()))
+
+
 @pytest.mark.parametrize("statuses, want", [([("pass", False), ("na", False)], "pass"), ([("pass", True)], None), ([("fail", False), ("pass", False)], "fail"), ([("na", False)], "na"), ([("needs_review", False), ("pass", False)], None)])
 def test_fold(spark, statuses, want):
     rows = spark.createDataFrame([("k", s, p) for s, p in statuses], "k string, status string, partial boolean")
