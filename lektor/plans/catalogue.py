@@ -67,6 +67,12 @@ def western_digits(spark, d):
     return table(spark, d, "documents").select("doc_id", T.western_digits(F.left("text", F.lit(200))).alias("folded"), F.regexp_count("text", F.lit("[0-9]")).alias("digits"), F.regexp_count("text", F.lit("[٠-٩۰-۹]")).alias("other_digits"))
 
 
+@query("SELECT doc_id, md5(translate(text, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789')) AS digest FROM documents")
+def western_digits_whole(spark, d):
+    """Digest of each whole text with its digits folded; ``western_digits`` and its SQL fold the first 200 characters."""
+    return table(spark, d, "documents").select("doc_id", F.md5(T.western_digits(F.col("text"))).alias("digest"))
+
+
 @query("SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]'))::INT AS latin, 0 AS arabic, CASE WHEN len(regexp_extract_all(text, '[A-Za-z]')) > 0 THEN 'latin' END AS script FROM documents")
 def script_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", T.latin_letters(F.col("text")).alias("latin"), T.arabic_letters(F.col("text")).alias("arabic"), T.dominant_script(F.col("text")).alias("script"))

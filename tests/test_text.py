@@ -1,5 +1,7 @@
 """Literal pairs for the text scalars."""
 
+import hashlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +99,11 @@ def test_coverage_of_short_items_and_any_language(spark, tmp_path):
         assert sorted(map(str, (tuple(r[c] for c in want.columns) for r in got.collect()))) == sorted(map(str, want.fetchall()))
 
 
+def test_digits_of_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(0, "x" * 300 + "٣۴")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert catalogue.western_digits_whole(spark, str(tmp_path)).first().digest == hashlib.md5(b"x" * 300 + b"34").hexdigest()
+
+
 @pytest.mark.parametrize("statuses, want", [([("pass", False), ("na", False)], "pass"), ([("pass", True)], None), ([("fail", False), ("pass", False)], "fail"), ([("na", False)], "na"), ([("needs_review", False), ("pass", False)], None)])
 def test_fold(spark, statuses, want):
     rows = spark.createDataFrame([("k", s, p) for s, p in statuses], "k string, status string, partial boolean")
