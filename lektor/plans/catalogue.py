@@ -545,6 +545,16 @@ def verify_quotes(spark, d):
     return assisted.quoted(rows.withColumn("quote", F.regexp_replace("quote", r"\.\.\.|…", " ")), "quote", "material").select("conv_id", "turn", "kept")
 
 
+@query(r"""WITH q AS (SELECT c.conv_id, c.turn, list_filter(list_transform(string_split_regex(c.text, '\.\.\.|…|\[\.\.\.[^\]]*\]'), lambda p: trim(regexp_replace(lower(p), '[^a-z0-9]+', ' ', 'g'))), lambda f: length(f) >= 8) AS fs,
+ trim(regexp_replace(lower(d.text), '[^a-z0-9]+', ' ', 'g')) AS m FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id)
+ SELECT conv_id, turn, coalesce(len(fs) > 0 AND len(list_filter(fs, lambda f: contains(m, f))) = len(fs), false) AS kept FROM q""")
+def verify_quotes_whole(spark, d):
+    """Every turn's whole text as a quote, cut at its ellipses; ``verify_quotes`` and its SQL take the first 40 characters of turns with a document."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("material"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("quote")).join(docs, "conv_id", "left")
+    return assisted.quoted(rows, "quote", "material").select("conv_id", "turn", "kept")
+
+
 @query("SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY ALL) GROUP BY conv_id")
 def distinct_in_order(spark, d):
     first = table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("first"))

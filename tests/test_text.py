@@ -104,6 +104,20 @@ def test_digits_of_whole_texts(spark, tmp_path):
     assert catalogue.western_digits_whole(spark, str(tmp_path)).first().digest == hashlib.md5(b"x" * 300 + b"34").hexdigest()
 
 
+def test_quotes_of_whole_turns(spark, tmp_path):
+    long_ = "some words of the material stand here and go on for long, " * 5
+    docs = [(1, long_ + "the end of it", "en", "s")]
+    turns = [(1, 0, long_ + "but this is invented"), (1, 1, "some words ... the end of it"), (1, 2, "some words [...left out] the end of it"), (1, 3, "short"), (9, 4, "no document for it"), (1, 5, None), (1, 6, long_.strip())]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.turn: r.kept for r in catalogue.verify_quotes_whole(spark, str(tmp_path)).collect()}
+    assert got == {0: False, 1: True, 2: True, 3: False, 4: False, 5: False, 6: True}
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert {r[1]: r[2] for r in con.sql(catalogue.oracle_sql()["verify_quotes_whole"]).fetchall()} == got
+
+
 @pytest.mark.parametrize("statuses, want", [([("pass", False), ("na", False)], "pass"), ([("pass", True)], None), ([("fail", False), ("pass", False)], "fail"), ([("na", False)], "na"), ([("needs_review", False), ("pass", False)], None)])
 def test_fold(spark, statuses, want):
     rows = spark.createDataFrame([("k", s, p) for s, p in statuses], "k string, status string, partial boolean")
