@@ -7,14 +7,14 @@ path twice.
 
 Where two neighbouring bytes stand side by side in no piece of the vocabulary (the start of most words, line breaks, most punctuation), every
 path passes: such positions are cut vertices. The lattice of a text is searched segment by segment. Forward Viterbi, which also keeps the
-second best score, runs once for each distinct segment (a bounded cache lives as long as the Python worker); A-star then runs on the
-segments in which the text's next best segmentations differ from its best.
+second best score, runs once for each distinct segment (a bounded cache lives as long as the Python worker) and gives the best ids; A-star then
+lists the segmentations of the n - 1 segments of least gaps, the only ones in which the text's n best differ, and these are combined in score order.
 
 Encoding: a space is put in front of a text that isn't empty, spaces become U+2581. Decoding undoes both; a text holding U+2581 itself decodes
 with a space in its place.
 
 Defined results: null and empty texts have no pieces, score 0, and decode to the empty text; where a text has fewer than n segmentations
-the missing gaps are null; repeated rows stay separate; an empty table gives an empty result; other columns are ignored.
+the missing gaps are null and the list is shorter; repeated rows stay separate; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ class Pieces:
     def clear(self) -> None:
         self.hashes, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.score, self.gap = np.zeros(0), np.zeros(0)
-        self.thirds: dict[int, float] = {}
+        self.nexts: dict[tuple[int, int], list[tuple[float, bytes]]] = {}
 
     def viterbi(self, text: str) -> tuple[float, float, list[int]]:
         """(best score, second best score, ids of the best)."""
@@ -171,7 +171,11 @@ class Pieces:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first, scores, gaps): the best ids of all documents in a row, each document's first id (one more at the end), its score and the gaps of
-        its next best segmentations."""
+        its next two best segmentations."""
+        return self.encode_n(data, offsets, 3)[:4]
+
+    def encode_n(self, data: np.ndarray, offsets: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+        """As ``encode``, for as many best segmentations as asked for, and last the ids (little-endian 32-bit) of each document's second to last one."""
         n = len(offsets) - 1
         size = np.diff(offsets)
         lead = offsets[:-1][size > 0]
@@ -179,7 +183,7 @@ class Pieces:
         offsets = offsets + np.append(0, np.cumsum(size > 0))
         total = len(data)
         if not total:
-            return np.zeros(0, np.int32), np.zeros(n + 1, np.int64), np.zeros(n), np.full((n, 2), np.inf)
+            return np.zeros(0, np.int32), np.zeros(n + 1, np.int64), np.zeros(n), np.full((n, best - 1), np.inf), [[] for _ in range(n)]
         cut = np.zeros(total + 1, bool)
         cut[1:total] = ~self.joined[data[:-1], data[1:]]
         cut[offsets] = True
@@ -201,34 +205,54 @@ class Pieces:
         ids = self.ids[np.repeat(self.at[spot] - upto[:-1], pieces) + np.arange(upto[-1])]
         first = np.searchsorted(starts, offsets)
         run = np.append(0, np.cumsum(self.score[spot]))
-        return ids, upto[first], run[first[1:]] - run[first[:-1]], self._text_gaps(self.gap[spot], first, data, starts, ends, hashed)
-
-    def _text_gaps(self, gap: np.ndarray, first: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-        """How far the second and third best segmentations of each text fall behind its best.
-
-        The second differs from the best in the segment of least gap. The third differs in the segment of the next gap, or in the same
-        segment, whose third segmentation A-star finds.
+        gaps, others = self._next_best(best, self.gap[spot], first, data, starts, ends, hashed, ids, upto)
+        return ids, upto[first], run[first[1:]] - run[first[:-1]], gaps, others
+
+    def _segment_nexts(self, key: int, segment: bytes, own: bytes, best: int) -> list[tuple[float, bytes]]:
+        """(gap, ids) of a segment's segmentations behind its best one, whose ids are ``own``, by A-star."""
+        got = self.nexts.get((key, best))
+        if got is None:
+            if len(self.nexts) >= CACHE // 4:
+                self.nexts.clear()
+            found = self.n_best(segment.decode("utf-8", "replace").replace(" ", SPACE), best)
+            packed = [(max(found[0][0] - score, 0.0), np.array(ids, "<u4").tobytes()) for score, ids in found]
+            got = self.nexts[key, best] = [x for x in packed if x[1] != own][: best - 1]  # of equal scores another may come first
+        return got
+
+    def _next_best(self, best: int, gap: np.ndarray, first: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashed: np.ndarray, ids: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
+        """How far the second to last best segmentations of each text fall behind its best, and their ids.
+
+        They differ from the best in the ``best - 1`` segments of least gaps at most. A-star lists those segments' segmentations; the choices
+        across segments are combined in the order of their sums.
         """
-        out = np.full((len(first) - 1, 2), np.inf)
+        out, others = np.full((len(first) - 1, best - 1), np.inf), [[] for _ in range(len(first) - 1)]
         full = np.flatnonzero(np.diff(first) > 0)
-        if not len(full):
-            return out
-        least = np.minimum.reduceat(gap, first[full])
+        if best < 2 or not len(full):
+            return out, others
         owner = np.repeat(np.arange(len(full)), np.diff(first)[full])
-        hits = np.flatnonzero(gap == least[owner])
-        _, at = np.unique(owner[hits], return_index=True)
-        where = hits[at]
         rest = gap.copy()
-        rest[where] = np.inf
-        out[full, 0], out[full, 1] = least, np.minimum.reduceat(rest, first[full])
-        for d, k in zip(full[np.isfinite(least)].tolist(), where[np.isfinite(least)].tolist()):
-            key = int(hashed[k])
-            third = self.thirds.get(key)
-            if third is None:
-                found = self.n_best(data[starts[k] : ends[k]].tobytes().decode("utf-8", "replace").replace(" ", SPACE), 3)
-                third = self.thirds[key] = found[0][0] - found[2][0] if len(found) > 2 else float("inf")
-            out[d, 1] = min(out[d, 1], third)
-        return out
+        chosen: list[list[int]] = [[] for _ in range(len(full))]
+        for _ in range(best - 1):
+            least = np.minimum.reduceat(rest, first[full])
+            hits = np.flatnonzero((rest == least[owner]) & np.isfinite(rest))
+            texts, at = np.unique(owner[hits], return_index=True)
+            where = hits[at]
+            rest[where] = np.inf
+            for t, k in zip(texts.tolist(), where.tolist()):
+                chosen[t].append(k)
+        raw, text = ids.astype("<u4").tobytes(), data.tobytes()
+        for d, ks in zip(full.tolist(), chosen):
+            lists = [self._segment_nexts(int(hashed[k]), text[starts[k] : ends[k]], raw[4 * upto[k] : 4 * upto[k + 1]], best) for k in ks]
+            lo, hi = 4 * int(upto[first[d]]), 4 * int(upto[first[d + 1]])
+            for j, (behind, choice) in enumerate(_combined(lists, best - 1)):
+                at, parts = lo, []
+                for k, alternatives, c in sorted(zip(ks, lists, choice)):
+                    if c:
+                        parts += [raw[at : 4 * int(upto[k])], alternatives[c - 1][1]]
+                        at = 4 * int(upto[k + 1])
+                out[d, j] = behind
+                others[d].append(b"".join([*parts, raw[at:hi]]))
+        return out, others
 
     def text_n_best(self, text: str, n: int = 3) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a whole text (score, ids)."""
@@ -244,18 +268,35 @@ class Pieces:
         return np.delete(data, offsets[:-1][full]), offsets - np.append(0, np.cumsum(full))
 
 
+def _combined(lists: list[list[tuple[float, bytes]]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The n least sums of gaps with one choice a list (0: none, with gap 0), all zeros left out."""
+    start = (0,) * len(lists)
+    heap, seen, out = [(0.0, start)], {start}, []
+    while heap and len(out) <= n:
+        total, choice = heapq.heappop(heap)
+        out.append((total, choice))
+        for i, c in enumerate(choice):
+            if c < len(lists[i]):
+                after = (*choice[:i], c + 1, *choice[i + 1 :])
+                if after not in seen:
+                    seen.add(after)
+                    heapq.heappush(heap, (sum(lists[k][x - 1][0] for k, x in enumerate(after) if x), after))
+    return [x for x in out if any(x[1])][:n]
+
+
 def pieces(path: str) -> Pieces:
     if path not in _workers:
         _workers[path] = Pieces(path)
     return _workers[path]
 
 
-SCHEMA = "doc_id long, n_ids long, ids binary, score double, gap_2 double, gap_3 double, decodes boolean"
+SCHEMA = "doc_id long, n_ids long, ids binary, score double, gap_2 double, gap_3 double, decodes boolean, next array<struct<score: double, ids: binary>>"
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_ids, ids, score, gap_2, gap_3, decodes): the best ids (little-endian 32-bit), its score, how far the second and third best segmentations
-    fall behind, and whether the ids decode to the text. One pass, no shuffle."""
+def encode(docs: DataFrame, path: str, n_best: int = 3) -> DataFrame:
+    """(doc_id, n_ids, ids, score, gap_2, gap_3, decodes, next): the best ids (little-endian 32-bit), its score, how far the second and third best
+    segmentations fall behind (null where they aren't asked for), whether the ids decode to the text, and the second to last of the n best
+    segmentations, by score. One pass, no shuffle."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
@@ -263,7 +304,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for block in bt.blocks(batch.column(1)):
                 n = len(block)
-                ids, first, score, gaps = own.encode(block.data, block.offsets)
+                ids, first, score, gaps, others = own.encode_n(block.data, block.offsets, n_best)
                 back, at = own.decode(ids, first)
                 raw = block.data.tobytes()
                 if mark in raw:
@@ -277,8 +318,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                     got = back.tobytes()
                     same = np.array([raw[a:b] == got[c:d] for a, b, c, d in zip(block.offsets, block.offsets[1:], at, at[1:])], bool)
                 packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((first * 4).astype(np.int32).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
-                second, third = (pa.array(g, pa.float64(), mask=~np.isfinite(g)) for g in gaps.T)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, n), pa.array(np.diff(first), pa.int64()), packed, pa.array(score, pa.float64()), second, third, pa.array(same)], ["doc_id", "n_ids", "ids", "score", "gap_2", "gap_3", "decodes"])
+                shown = np.hstack([gaps, np.full((n, 2), np.inf)])[:, :2]
+                second, third = (pa.array(g, pa.float64(), mask=~np.isfinite(g)) for g in shown.T)
+                upto = np.append(0, np.cumsum([len(x) for x in others])).astype(np.int32)
+                behind = (score[:, None] - gaps)[np.isfinite(gaps)]
+                listed = pa.StructArray.from_arrays([pa.array(behind, pa.float64()), pa.array([x for own_ in others for x in own_], pa.binary())], ["score", "ids"])
+                nexts = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), listed)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, n), pa.array(np.diff(first), pa.int64()), packed, pa.array(score, pa.float64()), second, third, pa.array(same), nexts], ["doc_id", "n_ids", "ids", "score", "gap_2", "gap_3", "decodes", "next"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(apply, SCHEMA)
 
@@ -290,7 +336,7 @@ def model_path() -> str:
 
 
 def digest(encoded: DataFrame) -> DataFrame:
-    return encoded.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), "score", "gap_2", "gap_3", "decodes")
+    return encoded.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), "score", "gap_2", "gap_3", "decodes", *(F.crc32(F.try_element_at("next", F.lit(k))["ids"]).alias(f"ids_{k + 1}_crc32") for k in (1, 2)))
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,6 +239,22 @@ def test_pieces(docs, rows, nothing):
     assert pieces.encode(nothing, pieces.model_path()).count() == 0
 
 
+def test_n_best_of_documents(spark, vocabulary):
+    texts = ["", None, "x", "hello there, the other day", "two  spaces\n\nend. ", "aaa aaa aaa", "日本語☃ and théâtre", "again and again and again " * 5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for n in (1, 2, 3, 6):
+        for r in pieces.encode(docs, pieces.model_path(), n).collect():
+            text = texts[r.doc_id] or ""
+            want = vocabulary.text_n_best(text, n)
+            lists = [np.frombuffer(x, "<u4") for x in [r.ids, *(y.ids for y in r.next)]]
+            assert [r.score, *(y.score for y in r.next)] == pytest.approx([s for s, _ in want], abs=1e-3)
+            assert len({x.tobytes() for x in lists}) == len(lists) == len(want)
+            assert all(vocabulary.decode(x, np.array([0, len(x)]))[0].tobytes().decode() == text for x in lists)
+            ties = [round(s, 3) for s, _ in vocabulary.text_n_best(text, n + 1)]
+            if len(set(ties)) == len(ties):
+                assert [x.tolist() for x in lists] == [ids for _, ids in want]
+
+
 # 6
 
 
