@@ -3,7 +3,7 @@
 A text is read as units: runs of at most eight characters between white space. A k-mer is K consecutive units, its inner substrings are
 the S-mers in it. A k-mer is selected when the least hash among its S-mers is that of the first or of the last one, which depends on the
 k-mer alone: an edit changes no selection beyond the k-mers that it touches. The fingerprint is the sequence of the selected k-mers'
-hashes, in hexadecimal, in text order. The likeness of two fingerprints is twice the number of distinct anchors in both over the sum of
+hashes, in hexadecimal, in text order; where no k-mer of a text is selected, as can happen to short ones, it is the one of the least hash. The likeness of two fingerprints is twice the number of distinct anchors in both over the sum of
 their numbers: 1 for equal fingerprints (two empty ones too), 0 for none in common.
 
 Sliding minima come from pairwise ``zip_with`` of arrays, so the work is linear in the text and stays in the JVM.
@@ -48,8 +48,10 @@ def anchors(text: Column) -> Column:
 
         def pick(m: Column) -> Column:
             def with_least(w: Column) -> Column:
-                hit = F.filter(F.sequence(F.lit(0), F.size(m) - width), lambda i: (w[i] == m[i]) | (w[i] == m[i + (width - 1)]))
-                return F.transform(hit, lambda i: F.xxhash64(m[i], m[i + 1], m[i + 3]))
+                kmer = lambda i: F.xxhash64(m[i], m[i + 1], m[i + 3])
+                every = F.sequence(F.lit(0), F.size(m) - width)
+                hit = F.filter(every, lambda i: (w[i] == m[i]) | (w[i] == m[i + (width - 1)]))
+                return let(hit, lambda at: F.when(F.size(at) > 0, F.transform(at, kmer)).otherwise(F.array(F.array_min(F.transform(every, kmer)))))
 
             return let(_least(_least(m, 1), 2), with_least)
 

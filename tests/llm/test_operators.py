@@ -287,6 +287,16 @@ def test_syncmers(spark):
     assert len(df.select(fingerprints.anchors(F.col("text")).alias("a")).first().a) == want
 
 
+def test_fingerprints_of_short_texts(spark):
+    from pyspark.sql import functions as F
+
+    texts = [(n, " ".join(f"u{(n * 1000 + v * 10 + k) * 7919 % 10007}" for k in range(n))) for n in range(1, 9) for v in range(20)]
+    rows = spark.createDataFrame(texts, "n int, text string").select("n", fingerprints.anchors(F.col("text")).alias("a"))
+    got = rows.select("n", "a", fingerprints.likeness(F.col("a"), fingerprints.anchors(F.lit("other words"))).alias("other"), fingerprints.likeness(F.col("a"), F.col("a")).alias("same")).collect()
+    assert all(r.a and r.other == 0 and r.same == 1 for r in got)
+    assert len({tuple(r.a) for r in got}) == len({t for _, t in texts})
+
+
 def test_fingerprints_of_nothing(spark, nothing, tmp_path):
     nothing.write.parquet(str(tmp_path / "documents.parquet"))
     assert fingerprints.op6_fingerprints(spark, str(tmp_path)).count() == 0
