@@ -389,6 +389,14 @@ def full_reconcile(spark, d):
     return matching.reconcile(left, right, ["doc_id"], F.col("value_l") == 1).select("doc_id", "source", "value")
 
 
+@query("""SELECT doc_id, CASE WHEN l.quality IS NOT NULL AND (l.quality = 1 OR l.toxic IS NULL) THEN 'left' WHEN l.toxic IS NOT NULL THEN 'right' END AS source,
+ CASE WHEN l.quality IS NOT NULL AND (l.quality = 1 OR l.toxic IS NULL) THEN l.quality ELSE l.toxic END AS value FROM labels l""")
+def full_reconcile_all(spark, d):
+    """Quality labels against toxic labels with all rows on each side; ``full_reconcile`` and its SQL take part of the ids."""
+    t = table(spark, d, "labels")
+    return matching.reconcile(t.select("doc_id", F.col("quality").alias("value_l")), t.select("doc_id", F.col("toxic").alias("value_r")), ["doc_id"], F.col("value_l") == 1).select("doc_id", "source", "value")
+
+
 @query("""WITH {PARAS}, h AS (SELECT item_id, doc_id, idx FROM paras JOIN benchmark b ON contains(line, b.text)) SELECT item_id, doc_id, idx::INT AS idx FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id, idx) AS r FROM h) WHERE r = 1""")
 def marks_locate(spark, d):
     lines = _lines(spark, d).withColumn("text", F.col("line")).withColumn("place", F.struct("doc_id", "idx"))
@@ -405,6 +413,17 @@ def title_vote(spark, d):
     return matching.title_votes(p.where("page_id % 2 = 0"), p.where("page_id % 2 = 1").withColumnRenamed("page_id", "other_id"), "page_id", "other_id")
 
 
+@query(r"""WITH a AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS t FROM pages), b AS (SELECT conv_id, arg_min(text, turn) AS t FROM conversations GROUP BY conv_id),
+ ta AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(lower(t), '[a-z]{2,}')) AS w FROM a), tb AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(t), '[a-z]{2,}')) AS w FROM b),
+ v AS (SELECT page_id, conv_id, count(*) AS shared FROM ta JOIN tb USING (w) GROUP BY ALL), m AS (SELECT *, max(shared) OVER (PARTITION BY page_id) AS top FROM v),
+ u AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM m WHERE shared = top) SELECT page_id, conv_id, shared FROM u WHERE n = 1""")
+def title_vote_all(spark, d):
+    """Titles of all pages against the first turns of all conversations; ``title_vote`` and its SQL let even pages vote on odd ones."""
+    p = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("title"))
+    return matching.title_votes(p, c, "page_id", "conv_id")
+
+
 @query()
 def near_duplicate(spark, d):
     """Lines of documents that copy a benchmark line at a ratio of 0.85, at any length; SQL has no such ratio."""
