@@ -33,7 +33,7 @@ def deltas(a: np.ndarray) -> np.ndarray:
 
 def slots(values48: np.ndarray, n: int) -> np.ndarray:
     """Which of n equal ranges of 48-bit values each falls into; keeps their order."""
-    return ((values48 * np.uint64(n)) >> np.uint64(48)).astype(np.int64)
+    return (((values48 >> np.uint64(16)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
 def groups(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -52,3 +52,16 @@ def groups(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple
             held.append(batch.slice(lo, hi - lo))
     if held:
         yield now, held
+
+
+def runs(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[int, pa.RecordBatch, bool]]:
+    """(value, rows, whether they are the first) for runs of the same value of a sorted integer column, batch by batch."""
+    now = None
+    for batch in batches:
+        key = batch.column(column).to_numpy()
+        if not len(key):
+            continue
+        cuts = np.flatnonzero(np.diff(key)) + 1
+        for lo, hi in zip(np.append(0, cuts).tolist(), np.append(cuts, len(key)).tolist()):
+            yield int(key[lo]), batch.slice(lo, hi - lo), key[lo] != now
+            now = key[lo]

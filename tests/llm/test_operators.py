@@ -88,6 +88,36 @@ def test_repeats_by_chance(spark):
         assert got == [(i, *x) for i, x in enumerate(cases.removed(texts))]
 
 
+def test_repeats_of_hot_anchors(spark):
+    """A common passage between ever different neighbours, split from the second text on, and all at once."""
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgh ", k=170))
+    ends = ["".join(rng.choices("xyz", k=60)) for _ in range(4)]
+    texts = ["".join(rng.choices("xyz", k=rng.randint(0, 50))) + rng.choice(ends)[rng.randint(0, 59) :] + passage + rng.choice(ends)[: rng.randint(0, 60)] + "".join(rng.choices("xyz", k=rng.randint(0, 50))) for _ in range(120)]
+    want = [(i, *x) for i, x in enumerate(cases.removed(texts))]
+    assert any(w[2] for w in want) and not all(w[2] for w in want)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for hot in (2, 10**9):
+        assert sorted(tuple(r) for r in repeats.spans(docs, hot).collect()) == want
+
+
+def test_repeats_of_one_byte(spark):
+    """Every position of such a text is an anchor, all with few contexts."""
+    n = 1 << 20
+    texts = ["a" * n, "b" * n + "c" + "ab" * 500, "z" * 199, "z" * 200]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (n, n, 1), 1: (n + 1001, n + 1000, 2), 2: (199, 0, 0), 3: (200, 0, 0)}
+
+
+def test_least_between():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 200):
+        values = rng.integers(0, 50, n)
+        lo = rng.integers(0, n, 100)
+        hi = np.minimum(n - 1, lo + rng.integers(0, n, 100))
+        assert repeats._least_between(repeats._minima(values), lo, hi).tolist() == [values[a : b + 1].min() for a, b in zip(lo, hi)]
+
+
 def test_remove_keeps_columns(docs, rows, nothing):
     out = repeats.remove(docs)
     assert out.columns == docs.columns
