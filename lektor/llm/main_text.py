@@ -6,8 +6,9 @@ link share, punctuation); every edge has a 2 x 2 potential by the child's kind.
 back, give the exact marginal of every node; the text blocks whose marginal favours content are the result, in page order.
 
 Weights are the maximum-likelihood estimate on labelled pages: the gradient is what the labels show less what the marginals expect.
-The labelled pages are drawn from ``labelled_pages``, a generator of page layouts (semantic and plain containers, menus, headers, sidebars,
-notices, adverts, forms, related links, comments, footers), since no table of labelled pages exists; their number is a parameter.
+The labelled pages are drawn from ``labelled_pages``, a generator of page layouts (semantic, plain and unnamed containers, text straight in the
+body or without any element, from one paragraph on; menus, headers, sidebars, notices, adverts, forms, related links, comments, footers), since
+no table of labelled pages exists; their number is a parameter.
 
 Text that is never shown (script, style, head, template and the like) is left out by the parser. Character references are decoded; white
 space inside a block becomes one space; a line break element is white space; blocks are joined by one space.
@@ -57,6 +58,7 @@ for _key, _words in KEYS.items():
     for _word in _words.split():
         KEYWORDS.setdefault(_word, []).append("k:" + _key)
 _split = re.compile(r"[a-z]+")
+_stop = re.compile(r"[.!?。！？](?=\s|$|[\"'”»)])")
 _hidden = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -94,8 +96,10 @@ def _attributes(raw: str) -> tuple[list[str], int | None]:
     return found, label
 
 
-def parse(source: str) -> Page:
+def parse(source: str, label: int | None = None) -> Page:
+    """The tree of a page; ``label`` is the root's."""
     page = Page()
+    page.label[0] = label
     stack: list[tuple[str, int]] = [("", 0)]  # open block elements
     parts: list[str] = []
     links, in_link, skipping, at, n = 0, 0, 0, 0, len(source)
@@ -109,7 +113,11 @@ def parse(source: str) -> Page:
                 node = stack[-1][1]
                 size = len(text)
                 share = min(1.0, links / size)
-                f = [f"len:{min(9, size.bit_length())}", "link:" + ("none" if share == 0 else "some" if share < 0.4 else "most"), "end:" + ("stop" if text[-1] in ".!?:;\"'”»)" else "open"), "words:" + str(min(5, (text.count(" ") + 1).bit_length()))]
+                linked = "none" if share == 0 else "some" if share < 0.4 else "most"
+                stops = min(3, len(_stop.findall(text)))
+                f = [f"len:{min(9, size.bit_length())}", "link:" + linked, "end:" + ("stop" if text[-1] in ".!?:;\"'”»)" else "open"), f"words:{min(5, (text.count(' ') + 1).bit_length())}", f"stops:{stops}/{linked}"]
+                if "©" in text:
+                    f.append("mark:copy")
                 page.add(node, f, page.label[node], text, links)
             parts.clear()
         links = 0
@@ -177,7 +185,7 @@ def parse(source: str) -> Page:
                     break
         found, label = _attributes(raw)
         node = stack[-1][1]
-        index = page.add(node, ["tag:" + name, "in:" + name + "<" + (stack[-1][0] or "root"), *found], label if label is not None else page.label[node])
+        index = page.add(node, ["tag:" + name, "in:" + name + "<" + (stack[-1][0] or "root"), *(found or ["plain:" + name])], label if label is not None else page.label[node])
         if not raw.endswith("/"):
             stack.append((name, index))
     flush()
@@ -227,10 +235,10 @@ class Model:
         return " ".join(t for t, o in zip(page.text, odds) if t is not None and o > 0)
 
 
-def fit(sources: list[str], epochs: int = 14, rate: float = 0.35, decay: float = 1e-3, seed: int = 3) -> Model:
+def fit(sources: list[tuple[str, int]], epochs: int = 20, rate: float = 0.35, decay: float = 1e-3, seed: int = 3) -> Model:
     """Maximum likelihood by Adagrad; each page is one step."""
     model, rng = Model(), random.Random(seed)
-    pages = [parse(s) for s in sources]
+    pages = [parse(s, root) for s, root in sources]
     squares: dict[object, float] = {}
 
     def move(key, gradient: float, now: float) -> float:
@@ -269,8 +277,8 @@ def fit(sources: list[str], epochs: int = 14, rate: float = 0.35, decay: float =
     return model
 
 
-def labelled_pages(n: int, seed: int = 5) -> list[str]:
-    """Pages of many layouts; ``data-y`` marks what is content (1) and what isn't (0)."""
+def labelled_pages(n: int, seed: int = 5) -> list[tuple[str, int]]:
+    """Pages of many layouts and the label of their root; ``data-y`` marks what is content (1) and what isn't (0)."""
     r = random.Random(seed)
     syllables = [a + b for a in "b c d f g l m n p r s t v".split() for b in "a e i o u en or al".split()]
     word = lambda: "".join(r.choices(syllables, k=r.randint(1, 4)))
@@ -305,8 +313,34 @@ def labelled_pages(n: int, seed: int = 5) -> list[str]:
     def comments() -> str:
         return off(r.choice(["div", "section", "ul"]), "comments comment-list user-comments replies discussion", f"<h3>{words(1, 3)}</h3>" + some(lambda: f'<div class="{r.choice(["comment", "reply", "comment-body"])}"><b>{word()}</b><p>{paragraph()}</p></div>', 1, 6))
 
+    def loose() -> str:
+        """What isn't content, without a name: a menu, a copyright line, a lone link."""
+        return r.choice([lambda: f'<ul data-y="0">{some(lambda: f"<li>{link(1, 2)}</li>", 2, 8)}</ul>', lambda: f'<div data-y="0">{some(lambda: link(1, 2) + r.choice([" ", " | "]), 2, 8)}</div>', lambda: f'<p data-y="0">&copy; {words(1, 6)}</p>', lambda: f'<div data-y="0">{link(1, 3)}</div>', lambda: f'<nav data-y="0">{r.choice("abcxyz")}</nav>', lambda: f'<footer data-y="0">{r.choice(["c", "&copy;", word(), sentence()])}</footer>'])()
+
+    def plain_page() -> tuple[str, int]:
+        """Content that no container announces, often short, alone or between other things."""
+        body = [f"<h{k}>{words(1, 8)}</h{k}>" for k in (r.randint(1, 3),) if r.random() < 0.4]
+        body += [f"<p>{inline(' '.join(sentence() for _ in range(r.randint(1, 5))))}</p>" if r.random() < 0.75 else block() for _ in range(r.choice([1, 1, 1, 2, 2, 3, 4, 6]))]
+        held = lambda tag, how="": f'<{tag} {how} data-y="1">{"".join(body)}</{tag}>'
+        kind = r.choice([0, 1, 2, 3, 4, 5, 5, 5, 6, 7, 8])
+        if kind == 0:
+            return " ".join(sentence() for _ in range(r.randint(1, 9))), 1
+        if kind == 1:
+            return "<br>".join(inline(" ".join(sentence() for _ in range(r.randint(1, 4)))) for _ in range(r.randint(1, 5))), 1
+        if kind == 2:
+            return "".join(body), 1
+        around = lambda: "".join(r.choice([loose, loose, lambda: off("nav", "", listing()), lambda: off("footer", "", sentence()), lambda: off(r.choice(["header", "div"]), "header masthead", f"<p>{words(1, 5)}</p>"), lambda: off("div", "ad advert promo", sentence())])() for _ in range(r.choice([0, 0, 1, 1, 2])))
+        first, last = around(), around()
+        if kind in (3, 4):
+            return f'<html data-y="1"><head><title>{words(1, 4)}</title></head><body data-y="1">{first}{"".join(body)}{last}</body></html>', 1
+        core = {5: lambda: held("div"), 6: lambda: held("div", f'id="{word()}"'), 7: lambda: f'<div data-y="1">{held("div", r.choice(["", f"""class="{word()}" """]))}</div>', 8: lambda: r.choice([f'<table data-y="1"><tr><td>{"".join(body)}</td></tr></table>', held("center"), held("section"), "".join(f'<div data-y="1">{b}</div>' for b in body)])}[kind]()
+        return f"<html><body>{first}{core}{last}</body></html>", 0
+
     pages = []
     for _ in range(n):
+        if r.random() < 0.45:
+            pages.append(plain_page())
+            continue
         before, after, inside = [], [], []
         put = lambda p, where, f: where.append(f()) if r.random() < p else None
         put(0.25, before, lambda: off("div", "cookie-notice consent gdpr notice alert", r.choice([f"<p>{sentence()} {link()}</p>", sentence()])))
@@ -330,13 +364,13 @@ def labelled_pages(n: int, seed: int = 5) -> list[str]:
         how = f'class="{r.choice(names.split())}"' if names else ""
         core = f'<{tag} {how} data-y="1">{"".join(body)}</{tag}>'
         if r.random() < 0.3:
-            core = f'<div class="{r.choice(["wrapper", "container", "page", "row"])}">{core}{"".join(after[:1])}</div>'
+            core = f'<div class="{r.choice(["wrapper", "container", "page", "row"])}" data-y="1">{core}{"".join(after[:1])}</div>'
             after = after[1:]
-        pages.append(f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><style>p{{}}</style></head><body>{''.join(before)}{core}{''.join(after)}" + r.choice(["</body></html>", ""]))
+        pages.append((f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><style>p{{}}</style></head><body>{''.join(before)}{core}{''.join(after)}" + r.choice(["</body></html>", ""]), 0))
     return pages
 
 
-PAGES = 400
+PAGES = 1000
 _trained: dict[int, Model] = {}
 
 
