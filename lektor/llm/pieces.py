@@ -6,9 +6,13 @@ search from the end of the text back to its start, which therefore yields segmen
 path twice.
 
 Where two neighbouring bytes stand side by side in no piece of the vocabulary (the start of most words, line breaks, most punctuation), every
-path passes: such positions are cut vertices. The lattice of a text is searched segment by segment. Forward Viterbi, which also keeps the
-second best score, runs once for each distinct segment (a bounded cache lives as long as the Python worker) and gives the best ids; A-star then
-lists the segmentations of the n - 1 segments of least gaps, the only ones in which the text's n best differ, and these are combined in score order.
+path passes: such positions are cut vertices. The lattice of a text is searched segment by segment: forward Viterbi and A-star run once for each
+distinct segment (a bounded cache lives as long as the Python worker) and give its two best segmentations; A-star then lists the n best of the n - 1
+segments of least gaps, the only ones in which the text's n best differ, and these are combined in score order.
+
+Scores are log-probabilities of pieces. A model of the unigram kind states them; the scores of a BPE model are merge ranks, whose sums
+mean nothing, so there a piece of rank r has the probability of Zipf's law, 1 / (r + 1) over the sum of all. Nothing is trained. The ids of the
+best segmentation thus differ from those that BPE's own merges reach; ``decodes`` holds for both.
 
 Encoding: a space is put in front of a text that isn't empty, spaces become U+2581. Decoding undoes both; a text holding U+2581 itself decodes
 with a space in its place.
@@ -20,6 +24,7 @@ the missing gaps are null and the list is shorter; repeated rows stay separate;
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +59,11 @@ class Pieces:
             else:
                 self.arcs[piece] = (sp.get_score(i), i)
                 spelled.append(piece.replace(SPACE, " ").encode())
+        scores = [w for w, _ in self.arcs.values()]
+        if all(float(w).is_integer() for w in scores):  # merge ranks
+            top = max(scores)
+            total = math.log(sum(1 / (1 + top - w) for w in scores))
+            self.arcs = {piece: (-math.log(1 + top - w) - total, i) for piece, (w, i) in self.arcs.items()}
         self.longest = max(map(len, self.arcs))
         self.prefixes: dict[str, tuple[float, int] | tuple[()]] = {}
         self.joined = np.zeros((256, 256), bool)  # pairs of bytes that stand side by side in a piece
@@ -75,76 +85,41 @@ class Pieces:
         self.score, self.gap = np.zeros(0), np.zeros(0)
         self.nexts: dict[tuple[int, int], list[tuple[float, bytes]]] = {}
 
-    def viterbi(self, text: str) -> tuple[float, float, list[int]]:
-        """(best score, second best score, ids of the best)."""
-        get, n, low = self.prefixes.get, len(text), float("-inf")
-        best, second, back = [0.0] + [low] * n, [low] * (n + 1), [None] * (n + 1)
+    def lattice(self, text: str) -> tuple[list[float], list[list[tuple[int, float, int]]]]:
+        """Forward Viterbi: for each position the best score from the start, and the arcs that end there (start, score, id; -1 for a character
+        spelled in bytes)."""
+        get, n = self.prefixes.get, len(text)
+        best, arcs = [0.0] + [float("-inf")] * n, [[] for _ in range(n + 1)]
         for s in range(n):
-            f, f2, e, covered = best[s], second[s], s + 1, False
+            f, e, covered = best[s], s + 1, False
             while e <= n:
                 arc = get(text[s:e])
                 if arc is None:
                     break
                 if arc:
                     covered = covered or e == s + 1
-                    w = arc[0]
-                    c = f + w
-                    if c > best[e]:
-                        second[e] = best[e]
-                        best[e] = c
-                        back[e] = (s, arc[1])
-                    elif c > second[e]:
-                        second[e] = c
-                    if f2 + w > second[e]:
-                        second[e] = f2 + w
+                    w, piece = arc
+                    arcs[e].append((s, w, piece))
+                    if f + w > best[e]:
+                        best[e] = f + w
                 e += 1
             if not covered:
-                e = s + 1
-                c = f + self.unknown
-                if c > best[e]:
-                    second[e], best[e], back[e] = best[e], c, (s, -1)
-                elif c > second[e]:
-                    second[e] = c
-                second[e] = max(second[e], f2 + self.unknown)
-        ids, at = [], n
-        while at:
-            start, piece = back[at]
-            if piece < 0:
-                ids += [self.byte[b] for b in reversed(text[start].encode())]
-            else:
-                ids.append(piece)
-            at = start
-        ids.reverse()
-        return best[n], second[n], ids
-
-    def lattice(self, text: str) -> list[list[tuple[int, float, int]]]:
-        """For each end position the arcs (start, score, id; -1 for a character spelled in bytes)."""
-        get, n, out = self.arcs.get, len(text), [[]]
-        for end in range(1, n + 1):
-            arcs = []
-            for start in range(max(0, end - self.longest), end):
-                found = get(text[start:end])
-                if found:
-                    arcs.append((start, found[0], found[1]))
-            if not arcs or arcs[-1][0] != end - 1:
-                arcs.append((end - 1, self.unknown, -1))
-            out.append(arcs)
-        return out
+                arcs[s + 1].append((s, self.unknown, -1))
+                best[s + 1] = max(best[s + 1], f + self.unknown)
+        return best, arcs
 
     def n_best(self, text: str, n: int = 3) -> list[tuple[float, list[int]]]:
-        """The n best segmentations (score, ids), best first."""
+        """The n best segmentations (score, ids), best first: A-star from the end, whose heuristic is the exact score from the start."""
         if not text:
             return [(0.0, [])]
-        lattice = self.lattice(text)
-        best = [0.0]
-        for arcs in lattice[1:]:
-            best.append(max([best[s] + w for s, w, _ in arcs]))
+        best, arcs = self.lattice(text)
+        push, pop = heapq.heappush, heapq.heappop
         last = len(text)
         heap, turn, out = [(-best[last], 0, last, 0.0, None)], 1, []
-        while heap and len(out) < n:
-            minus, _, at, behind, path = heapq.heappop(heap)
+        while heap:
+            minus, _, at, behind, path = pop(heap)
             if at == 0:
-                ids, end = [], 0
+                ids = []
                 while path:
                     start, piece, path = path
                     if piece < 0:
@@ -152,22 +127,26 @@ class Pieces:
                     else:
                         ids.append(piece)
                 out.append((-minus, ids))
+                if len(out) == n:
+                    break
                 continue
-            for start, w, piece in lattice[at]:
+            for start, w, piece in arcs[at]:
                 g = behind + w
-                heapq.heappush(heap, (-(best[start] + g), turn, start, g, (start, piece, path)))
+                push(heap, (-(best[start] + g), turn, start, g, (start, piece, path)))
                 turn += 1
         return out
 
     def add(self, hashes: np.ndarray, segments: list[bytes]) -> None:
-        found = [self.viterbi(s.decode("utf-8", "replace").replace(" ", SPACE)) for s in segments]
-        size = np.fromiter((len(f[2]) for f in found), np.int64, len(found))
-        flat = np.fromiter((i for f in found for i in f[2]), np.int32, int(size.sum()))
+        """Keep the best segmentation of each segment and how far the second one falls behind."""
+        found = [self.n_best(s.decode("utf-8", "replace").replace(" ", SPACE), 2) for s in segments]
+        size = np.fromiter((len(f[0][1]) for f in found), np.int64, len(found))
+        flat = np.fromiter((i for f in found for i in f[0][1]), np.int32, int(size.sum()))
         at = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate([self.ids, flat])
         where = np.searchsorted(self.hashes, hashes)
         self.hashes, self.at, self.size = np.insert(self.hashes, where, hashes), np.insert(self.at, where, at), np.insert(self.size, where, size)
-        self.score, self.gap = np.insert(self.score, where, [f[0] for f in found]), np.insert(self.gap, where, [f[0] - f[1] for f in found])
+        self.score = np.insert(self.score, where, [f[0][0] for f in found])
+        self.gap = np.insert(self.gap, where, [f[0][0] - f[1][0] if len(f) > 1 else np.inf for f in found])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first, scores, gaps): the best ids of all documents in a row, each document's first id (one more at the end), its score and the gaps of
