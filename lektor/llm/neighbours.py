@@ -8,8 +8,10 @@ product with a code is a few popcounts. Estimate and error bound follow from the
 query. Vectors whose upper bound reaches the k-th best exact score so far are scored exactly, in double precision on the original
 components added in order; the rest are skipped. No row is left out of the index and none is sampled.
 
-The stated query set meets all rows in blocks of bounded size: rows go to every query block, queries to every row block, and what a pair
-of blocks returns is at most k rows a query. All block numbers are hashes, so equal vectors spread.
+The stated query set meets all rows in blocks: a row goes to one block (one for each ``QUERY_GROUP`` queries) as it is stored, and is coded there
+once; the queries are streamed past the block, so a task holds the rows of its block and one batch of queries, however many there
+are. Of each block at most k rows a query come back. Rows are moved once and queries as often as there are blocks, of ``ROW_BLOCK`` rows where
+there are many. All block numbers are hashes, so equal vectors spread.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components take no part, nor do rows with a null vec_id;
 rows that repeat vec_id and vector count once; a vec_id with several vectors is a candidate (and a query) with each, but never its own
@@ -20,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lektor.llm import tables
 
-K, EVERY, ROW_BLOCK, QUERY_BLOCK, PLANES, EPSILON, SEED = 20, 20, 8192, 2048, 6, 3.2, 11
+K, EVERY, ROW_BLOCK, QUERY_GROUP, PLANES, EPSILON, SEED = 20, 20, 1 << 15, 1 << 20, 6, 3.2, 11
 _rotations: dict[int, np.ndarray] = {}
 
 
@@ -88,9 +91,9 @@ class Codes:
         return float(query @ self.centre) + self.length * share, self.length * (EPSILON * self.slack * norm + rounding) + 1e-9 * norm * (self.length + 1)
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(codes: Codes, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query_id, vec_id, score): the best k of the block for every query, by codes first and exact scores last."""
-    codes, out = Codes(vectors), []
+    out = []
     for qid, query in zip(query_ids, queries):
         estimate, slack = codes.bounds(query)
         other = np.flatnonzero(ids != qid)
@@ -107,30 +110,43 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
 def usable(vectors: DataFrame) -> DataFrame:
     v = F.col("vec").cast("array<double>")
     ok = F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(F.coalesce(ok, F.lit(False))).withColumn("vec", v).dropDuplicates(["vec_id", "vec"])
+    return vectors.where(F.coalesce(ok, F.lit(False))).dropDuplicates(["vec_id", "vec"])
 
 
 def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows that ``is_query`` marks, over all rows of ``vectors`` (vec_id, vec)."""
     rows = tables.materialize(usable(vectors).withColumn("q", F.coalesce(is_query, F.lit(False))).withColumn("h", F.xxhash64("vec_id", F.lit(SEED))), "vectors")
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("q")).first()
-    n_rows, n_queries = max(1, math.ceil(n.n / ROW_BLOCK)), max(1, math.ceil(n.q / QUERY_BLOCK))
-    rb, qb = F.pmod(F.col("h"), F.lit(n_rows)).cast("int"), F.pmod(F.col("h"), F.lit(n_queries)).cast("int")
+    n_rows = max(1, math.ceil(n.n / ROW_BLOCK), min(tables.width(rows.sparkSession), math.ceil(n.n / 1024)))
+    n_groups = max(1, math.ceil(n.q / QUERY_GROUP))
+    rb, qg = F.pmod(F.col("h"), F.lit(n_rows)), F.pmod(F.col("h"), F.lit(n_groups))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    dim = F.size("vec").alias("d")
-    data = rows.select("vec_id", "vec", F.lit(0).alias("kind"), dim, rb.alias("rb"), every(n_queries).alias("qb"))
-    asks = rows.where("q").select("vec_id", "vec", F.lit(1).alias("kind"), dim, every(n_rows).alias("rb"), qb.alias("qb"))
-
-    def apply(group: pa.Table) -> pa.Table:
-        kind, ids = group["kind"].to_numpy(), group["vec_id"].to_numpy()
-        flat = group["vec"].combine_chunks()
-        flat = (flat.flatten() if isinstance(flat, pa.ListArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])).to_numpy(zero_copy_only=False)
-        table = flat.reshape(len(ids), -1)
-        own, ask = kind == 0, kind == 1
-        q, v, s = search(ids[own], table[own], ids[ask], table[ask], k) if own.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    found = data.unionByName(asks).groupBy("d", "rb", "qb").applyInArrow(apply, "query_id long, vec_id long, score double")
+    row = lambda kind, block, group: rows.where("q" if kind else "true").withColumn("b", block).withColumn("g", group).select((F.col("b") * n_groups + F.col("g")).cast("int").alias("block"), F.size("vec").alias("d"), F.lit(kind).alias("kind"), "vec_id", "vec")
+    both = row(0, rb, every(n_groups)).unionByName(row(1, every(n_rows), qg))
+    dealt = both.repartitionById(n_rows * n_groups, F.col("block")).sortWithinPartitions("block", "d", "kind")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        codes = ids = vectors = key = None
+        for batch in batches:
+            block, d, kind, names = (batch.column(c).to_numpy() for c in range(4))
+            if not len(block):
+                continue
+            cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(d) != 0) | (np.diff(kind) != 0)) + 1
+            for lo, hi in zip(np.append(0, cuts).tolist(), np.append(cuts, len(block)).tolist()):
+                table = batch.column(4).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(hi - lo, -1)
+                if key != (block[lo], d[lo]):
+                    key, held, codes = (block[lo], d[lo]), [], None
+                if kind[lo] == 0:
+                    held.append((names[lo:hi], table))
+                elif held:
+                    if codes is None:
+                        ids, vectors = (np.concatenate(x) for x in zip(*held))
+                        held, codes = [(ids, vectors)], Codes(vectors)
+                    q, v, score = search(codes, ids, vectors, names[lo:hi], table, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
+
+    found = dealt.mapInArrow(apply, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
