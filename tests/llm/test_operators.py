@@ -288,33 +288,59 @@ def test_n_best_of_documents(spark, vocabulary):
 # 6
 
 
+def plain_fingerprint(text):
+    """Anchors by the definition, one k-mer after the other."""
+    import regex
+    import xxhash
+
+    def chained(*values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.to_bytes(8, "little", signed=True), seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    k, s = fingerprints.K, fingerprints.S
+    h = [chained(u.group().encode()) for u in regex.finditer(fingerprints.UNIT.replace("\\x{20000}-\\x{3FFFF}", "\\U00020000-\\U0003FFFF"), text)]
+    if 0 < len(h) < k:
+        return [chained(" ".join(f"{x & (1 << 64) - 1:X}" for x in h).encode()) & 0xFFFFFFFF]
+    m = [chained(*h[i : i + s]) for i in range(len(h) - s + 1)]
+    every, out, w = [], [], k - s + 1
+    for i in range(len(h) - k + 1):
+        kmer = chained(m[i], m[i + 1], m[i + 3]) & 0xFFFFFFFF
+        every.append(kmer)
+        if min(m[i : i + w]) in (m[i], m[i + w - 1]):
+            out.append(kmer)
+    return out or ([min(every)] if every else [])
+
+
+def plain_likeness(a, b):
+    a, b = ({*zip(x, [*x[1:], 0])} for x in (a, b))
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+
 def test_fingerprints(spark, rows, tmp_path):
-    own = [r for r in rows if r[0] is not None][:-1]
+    """The whole query against a plain version: nulls, ties of doc_id, scripts without spaces, long tokens."""
+    rng = random.Random(6)
+    han = "".join(rng.choices("一二三四五六七八九十天地人日月山水火木金土", k=400))
+    token = "".join(rng.choices("bcdfgBCDaeX0/+", k=900))
+    more = [han, han[:200] + "新" + han[200:], token, token[:300] + "Q" + token[300:], "word " + han[:50] + "end สวัสดีครับ", "\U00020000\U00020001 x", "q" * 500, "é" * 100]
+    own = [r for r in rows if r[0] is not None][:-1] + [(1000 + i, t, *[None] * 10) for i, t in enumerate(more)] + [(None, t, *[None] * 10) for t in ("no id", "none either", "nor here " * 9)]
+    own += [(55, f"shared id {i} " * (i + 1), *[None] * 10) for i in range(30)]
     cases.frame(spark, own).write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r for r in fingerprints.op6_fingerprints(spark, str(tmp_path)).collect()}
-    order = sorted(own, key=lambda r: -r[0])
-    prints = {}
+    got = sorted(map(tuple, fingerprints.op6_fingerprints(spark, str(tmp_path)).collect()), key=repr)
+    tie = {r.text: r.h for r in spark.createDataFrame([(r[1] or "",) for r in own], "text string").selectExpr("text", "xxhash64(text) h").collect()}
+    order = sorted(own, key=lambda r: (r[0] is None, -(r[0] or 0), -tie[r[1] or ""]))
+    want = []
+    show = lambda a: "".join(f"{x:08X}" for x in a)
     for here, following in zip(order, order[1:] + order[:1]):
-        text, other, r = here[1] or "", following[1] or "", got[here[0]]
-        third = len(text) // 3
-        edited = text[: len(text) - third] + other[:third]
-        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        assert prints.setdefault(text, r.fingerprint) == r.fingerprint
-    long_ = [got[r[0]] for r in own if r[1] and len(r[1]) > 400 and len(set(r[1].split())) > 50]
-    assert all(r.near_edited > 0.4 for r in long_)
-
-
-def test_syncmers(spark):
-    from pyspark.sql import functions as F
-
-    units = [f"u{i * 7919 % 101}" for i in range(60)]
-    df = spark.createDataFrame([(" ".join(units),)], "text string")
-    h = [r.h for r in spark.createDataFrame([(u,) for u in units], "u string").select(F.xxhash64("u").alias("h")).collect()]
-    pair = [r.m for r in spark.createDataFrame(list(zip(h, h[1:])), "a long, b long").coalesce(1).select(F.xxhash64("a", "b").alias("m")).collect()]
-    width = fingerprints.K - fingerprints.S + 1
-    want = sum(1 for i in range(len(units) - fingerprints.K + 1) if min(pair[i : i + width]) in (pair[i], pair[i + width - 1]))
-    assert len(df.select(fingerprints.anchors(F.col("text")).alias("a")).first().a) == want
+        text, other = here[1] or "", following[1] or ""
+        edited = text[: len(text) - len(text) // 3] + other[: len(text) // 3]
+        a, e, n = map(plain_fingerprint, (text, edited, other))
+        want.append((here[0], len(text), hashlib.sha256(edited.encode()).hexdigest(), show(a), show(e), plain_likeness(a, e), plain_likeness(a, n)))
+    assert got == sorted(want, key=repr)
+    assert all(w[5] > 0.55 for w in want if len({w[3][k : k + 8] for k in range(0, len(w[3]), 8)}) > 60)
+    print_ = {t: plain_fingerprint(t) for t in more[:4]}
+    assert plain_likeness(print_[more[0]], print_[more[1]]) > 0.95 and plain_likeness(print_[more[2]], print_[more[3]]) > 0.95  # one character put in
 
 
 def test_fingerprints_of_short_texts(spark):
@@ -322,7 +348,8 @@ def test_fingerprints_of_short_texts(spark):
 
     texts = [(n, " ".join(f"u{(n * 1000 + v * 10 + k) * 7919 % 10007}" for k in range(n))) for n in range(1, 9) for v in range(20)]
     rows = spark.createDataFrame(texts, "n int, text string").select("n", fingerprints.anchors(F.col("text")).alias("a"))
-    got = rows.select("n", "a", fingerprints.likeness(F.col("a"), fingerprints.anchors(F.lit("other words"))).alias("other"), fingerprints.likeness(F.col("a"), F.col("a")).alias("same")).collect()
+    like = lambda a, b: fingerprints.likeness(fingerprints.links(a), fingerprints.links(b))
+    got = rows.select("n", "a", like(F.col("a"), fingerprints.anchors(F.lit("other words"))).alias("other"), like(F.col("a"), F.col("a")).alias("same")).collect()
     assert all(r.a and r.other == 0 and r.same == 1 for r in got)
     assert len({tuple(r.a) for r in got}) == len({t for _, t in texts})
 
