@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lektor.llm import tables
 
-K, EVERY, ROW_BLOCK, QUERY_GROUP, PLANES, EPSILON, SEED = 20, 20, 1 << 15, 1 << 20, 6, 3.2, 11
+K, EVERY, ROW_BLOCK, QUERY_GROUP, PLANES, EPSILON, SEED, CELLS, DENSE = 20, 20, 1 << 15, 1 << 20, 6, 3.2, 11, 1 << 18, 0.1
 _rotations: dict[int, np.ndarray] = {}
 
 
@@ -42,11 +42,11 @@ def rotation(d: int) -> np.ndarray:
     return _rotations[d]
 
 
-def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, components added in order, so that equal vectors score equally."""
-    total = np.zeros(len(vectors))
-    for k in range(len(query)):
-        total += vectors[:, k] * query[k]
+def exact(columns: np.ndarray, rows: np.ndarray, query_columns: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Inner products of pairs in double precision, components (first axis) added in order, so that equal vectors score equally."""
+    total = np.zeros(len(rows))
+    for own, other in zip(columns, query_columns):
+        total += own[rows] * other[queries]
     return total
 
 
@@ -66,44 +66,65 @@ class Codes:
         self.packed = np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
         self.ones = bits.sum(1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            self.slack = np.where(self.own > 0, np.sqrt(np.maximum(0, 1 - self.own**2)) / self.own / math.sqrt(max(self.d - 1, 1)), 0)
-
-    def bounds(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(estimate, most that the true product can exceed it) for every vector of the block."""
-        turned = query @ rotation(self.d)
-        low, high = turned.min(), turned.max()
-        step = max((high - low) / ((1 << PLANES) - 1), 1e-300)
-        level = np.rint((turned - low) / step).astype(np.uint64)
-        planes = np.zeros((PLANES, self.packed.shape[1] * 64), bool)
+            inverse = np.where(self.own > 0, self.length / self.own, 0)
+            slack = np.sqrt(np.maximum(0, 1 - self.own**2)) / math.sqrt(max(self.d - 1, 1))
+        self.scale, self.by_norm, self.by_step = inverse / math.sqrt(self.d), EPSILON * slack * inverse + 1e-9 * (self.length + 1), inverse * math.sqrt(self.d) / 2
+
+    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(estimate, most that the true product can exceed it) for every query and vector of the block."""
+        turned = queries @ rotation(self.d)
+        low = turned.min(1)
+        step = np.maximum((turned.max(1) - low) / ((1 << PLANES) - 1), 1e-300)
+        level = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint64)
+        planes = np.zeros((PLANES, len(queries), self.packed.shape[1] * 64), bool)
         for k in range(PLANES):
-            planes[k, : self.d] = (level >> np.uint64(k)) & np.uint64(1)
-        planes = np.packbits(planes, axis=1, bitorder="little").view(np.uint64)
-        hit = np.zeros(len(self.packed))
+            planes[k, :, : self.d] = (level >> np.uint64(k)) & np.uint64(1)
+        planes = np.packbits(planes, axis=2, bitorder="little").view(np.uint64)
+        hit = np.zeros((len(queries), len(self.packed)), np.uint32)
         for k in range(PLANES):
-            hit += float(1 << k) * np.bitwise_count(self.packed & planes[k]).sum(1)
+            for w in range(self.packed.shape[1]):
+                hit += np.left_shift(np.bitwise_count(self.packed[:, w] & planes[k, :, w, None]), k, dtype=np.uint32)
         # sum over set bits of the rounded query, less the sum over the others
-        inside = low * self.ones + step * hit
-        total = low * self.d + step * float(level.sum())
-        with np.errstate(divide="ignore", invalid="ignore"):
-            share = np.where(self.own > 0, (2 * inside - total) / math.sqrt(self.d) / self.own, 0)
-            rounding = np.where(self.own > 0, step / 2 * math.sqrt(self.d) / self.own, 0)
-        norm = math.sqrt(float(query @ query))
-        return float(query @ self.centre) + self.length * share, self.length * (EPSILON * self.slack * norm + rounding) + 1e-9 * norm * (self.length + 1)
+        estimate = hit * (2 * step)[:, None]
+        estimate += (2 * low)[:, None] * self.ones
+        estimate -= (low * self.d + step * level.sum(1))[:, None]
+        estimate *= self.scale
+        estimate += (queries @ self.centre)[:, None]
+        return estimate, np.sqrt((queries * queries).sum(1))[:, None] * self.by_norm + step[:, None] * self.by_step
 
 
 def search(codes: Codes, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query_id, vec_id, score): the best k of the block for every query, by codes first and exact scores last."""
-    out = []
-    for qid, query in zip(query_ids, queries):
-        estimate, slack = codes.bounds(query)
-        other = np.flatnonzero(ids != qid)
-        if len(other) > 4 * k:
-            first = other[np.argpartition(-estimate[other], 2 * k)[: 2 * k]]
-            floor = np.partition(exact(vectors[first], query), len(first) - k)[len(first) - k]
-            other = other[(estimate + slack)[other] >= floor]
-        score = exact(vectors[other], query)
-        best = np.lexsort((ids[other], -score))[:k]
-        out.append((np.full(len(best), qid), ids[other][best], score[best]))
+    n, columns, out = len(ids), np.ascontiguousarray(vectors.T), []
+    batch = max(1, CELLS // n)
+    for lo in range(0, len(query_ids), batch):
+        names, asked = query_ids[lo : lo + batch], queries[lo : lo + batch]
+        query_columns = np.ascontiguousarray(asked.T)
+        keep = ids != names[:, None]
+        if n > 4 * k:
+            estimate, most = codes.bounds(asked)
+            estimate[~keep] = -np.inf
+            first = np.argpartition(estimate, n - 2 * k, axis=1)[:, n - 2 * k :]
+            who = np.repeat(np.arange(len(names)), 2 * k)
+            score = np.where(keep[who, first.ravel()], exact(columns, first.ravel(), query_columns, who), -np.inf).reshape(first.shape)
+            most += estimate
+            keep &= most >= np.partition(score, k, axis=1)[:, k, None]  # the k-th best of 2 k
+        if keep.mean() > DENSE:  # pairs are many: score whole columns
+            total, product = np.zeros(keep.shape), np.empty(keep.shape)
+            for own, other in zip(columns, query_columns):
+                total += np.multiply(own, other[:, None], out=product)
+            total[~keep] = -np.inf
+            if n > k:
+                keep &= total >= np.partition(total, n - k, axis=1)[:, n - k, None]
+            who, row = np.nonzero(keep)
+            score = total[who, row]
+        else:
+            who, row = np.nonzero(keep)
+            score = exact(columns, row, query_columns, who)
+        order = np.lexsort((ids[row], -score, who))
+        who, row, score = who[order], row[order], score[order]
+        best = np.arange(len(who)) - np.searchsorted(who, who) < k
+        out.append((names[who[best]], ids[row[best]], score[best]))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
