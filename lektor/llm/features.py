@@ -74,7 +74,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """Features of a bounded sample of labelled rows: at most ``per_class`` documents of each class, the first by a hash of their id.
 
     Rows whose crc32(doc_id) mod 4 is ``held_out`` are never taken. A document labelled more than once counts with its highest
-    label; null ids and labels are left out. Returns (label, meta, buckets, counts, structure) rows, at most 2 * per_class.
+    label; null ids and labels are left out; of several texts of one id the one of least hash is learned from. Returns (label, meta, buckets, counts, structure) rows, at most 2 * per_class.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     if held_out is not None:
@@ -86,7 +86,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     spark = docs.sparkSession
     small = spark.createDataFrame([(int(r.doc_id), int(r.y)) for r in chosen], "doc_id long, y int")  # at most 2 * per_class rows
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)).cast("double").alias("meta")]
-    found = docs.select(*cols).join(F.broadcast(small), "doc_id").select("doc_id", "y", "text", "meta")
+    found = docs.select(*cols).join(F.broadcast(small), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("y", "text", "meta"), F.struct(F.xxhash64("text"), "meta")).alias("r")).select("doc_id", "r.y", "r.text", "r.meta")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,10 +94,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
                 meta = batch.column(3).slice(block.lo, len(block)).to_numpy(zero_copy_only=False).astype(float)
                 begin, bucket, count, structure = (*stems(block, bits), np.zeros((len(block), 0))) if stemmed else rows(block, bits, meta)
                 y, ids_ = batch.column(1).slice(block.lo, len(block)), batch.column(0).slice(block.lo, len(block))
-                yield pa.RecordBatch.from_arrays([ids_, y, pa.array([bucket[a:b].astype(np.int32).tobytes() for a, b in zip(begin, begin[1:])], pa.binary()), pa.array([np.minimum(count[a:b], 65535).astype(np.uint16).tobytes() for a, b in zip(begin, begin[1:])], pa.binary()), pa.array([x.astype(np.float32).tobytes() for x in structure], pa.binary())], ["doc_id", "y", "b", "c", "s"])
+                yield pa.RecordBatch.from_arrays([ids_, y, pa.array([bucket[a:b].astype(np.int32).tobytes() for a, b in zip(begin, begin[1:])], pa.binary()), pa.array([count[a:b].astype(np.uint32).tobytes() for a, b in zip(begin, begin[1:])], pa.binary()), pa.array([x.astype(np.float32).tobytes() for x in structure], pa.binary())], ["doc_id", "y", "b", "c", "s"])
 
-    got = found.mapInArrow(encode, "doc_id long, y int, b binary, c binary, s binary").collect()
-    seen: dict[int, object] = {}
-    for r in sorted(got, key=lambda r: (r.doc_id, bytes(r.b), bytes(r.s))):
-        seen.setdefault(r.doc_id, r)
-    return [seen[k] for k in sorted(seen)]
+    return sorted(found.mapInArrow(encode, "doc_id long, y int, b binary, c binary, s binary").collect(), key=lambda r: r.doc_id)

@@ -98,13 +98,14 @@ def mix_counts(docs: DataFrame, weights: tuple = WEIGHTS, factor: tuple = FACTOR
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, factor: tuple = FACTOR, most: int = MOST) -> DataFrame:
-    """The mixture itself: every document as often as the sampling takes it. Rows that repeat id, source and text share their copies."""
-    got = mix_counts(docs, weights, factor, most).groupBy("doc_id", "key", "h").agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0")
-    got = got.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("h").alias("_hash"), "_copies", "_rows")
-    rows = docs.withColumn("_key", source_key()).withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    joined = rows.join(got, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")) & (F.col("_h") == F.col("_hash")))
-    chosen = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(["_id", "_k", "_hash"]))
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The mixture itself: every document as often as the sampling takes it. Of rows that repeat id, source and text the one of least JSON stands
+    for all, as often as all are taken. Columns of any name are kept as they are."""
+    got = mix_counts(docs, weights, factor, most).groupBy("doc_id", "key", "h").agg(F.sum("copies").cast("int").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), source_key().alias("k"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    joined = rows.join(got, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("key")) & (F.col("hash") == F.col("h")))
+    alone = joined.where("rows = 1").select("row", "copies")
+    many = joined.where("rows > 1").groupBy("doc_id", "key", "h").agg(F.min_by("row", F.to_json("row")).alias("row"), F.first("copies").alias("copies")).select("row", "copies")
+    return alone.unionAll(many).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

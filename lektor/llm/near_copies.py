@@ -15,6 +15,9 @@ only classes take part in the search.
    that order; what these pairs link becomes components. Then every candidate pair of different components is made and verified, so the
    components are exact while pairs inside a component, whose links cannot change it, are never made. Before a pair is made, histograms of
    the two shared lists over ``BINS`` hash bins bound their overlap from above: the sum of the smaller counts.
+4. A shingle of more than ``HOT`` classes is split. Its classes fall into blocks by hash; in the first round each block has its own most
+   central class, and those meet in turn; in the second each pair of blocks is a group of its own. A partition is worked through in pieces
+   whose number grows with the number of shingles, so memory does not.
 
 Nothing is collected but counts; links and labels are tables in the shared folder. Hashes have 64 bits (48 for shingles on the way),
 so results are exact but for collisions.
@@ -36,8 +39,9 @@ from pyspark.sql import functions as F
 from lektor.llm import bytetext as bt
 from lektor.llm import components, packing, tables
 
-WIDTH, PERCENT, MOST_MATCHES, VERIFY_COST, SKETCH, BINS, FLUSH = 5, 75, 8, 8.0, 6, 64, 1 << 21
+WIDTH, PERCENT, MOST_MATCHES, VERIFY_COST, SKETCH, BINS, FLUSH, HOT, PIECE = 5, 75, 8, 8.0, 6, 64, 1 << 21, 512, 2_000_000
 U = np.uint64
+_SLOTS = pa.schema([("slot", pa.int32()), ("blob", pa.binary())])
 
 
 def block_sets(block: bt.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,15 +86,16 @@ def _send(docs: DataFrame, n_slots: int) -> DataFrame:
             token, owner = token[order], owner[order]
             edges = np.searchsorted(packing.slots(token, n_slots), np.arange(n_slots + 1))
             out: dict[str, list] = {"slot": [], "blob": []}
-            for s in range(n_slots):
+            for s in np.flatnonzero(np.diff(edges)).tolist():
                 lo, hi = edges[s], edges[s + 1]
-                if lo < hi:
-                    own, index = np.unique(owner[lo:hi], return_inverse=True)
-                    out["slot"].append(s)
-                    out["blob"].append(packing.pack(key[own], n[own].astype(np.uint32), index.astype(np.uint32), packing.deltas(token[lo:hi])))
-                if len(out["slot"]) >= 16 or s == n_slots - 1 and out["slot"]:
-                    yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("slot", pa.int32()), ("blob", pa.binary())]))
+                own, index = np.unique(owner[lo:hi], return_inverse=True)
+                out["slot"].append(s)
+                out["blob"].append(packing.pack(key[own], n[own].astype(np.uint32), index.astype(np.uint32), packing.deltas(token[lo:hi])))
+                if len(out["slot"]) >= 16:
+                    yield pa.RecordBatch.from_pydict(out, schema=_SLOTS)
                     out = {"slot": [], "blob": []}
+            if out["slot"]:
+                yield pa.RecordBatch.from_pydict(out, schema=_SLOTS)
             held, size = [], 0
 
         for batch in batches:
@@ -146,13 +151,12 @@ def _count(sent: DataFrame, n_slots: int) -> DataFrame:
             order = np.argsort(key, kind="stable")
             token, key, n, df = token[order], key[order], n[order], df[order]
             edges = np.searchsorted(packing.slots(key >> U(16), n_slots), np.arange(n_slots + 1))
-            for s in range(n_slots):
+            for s in np.flatnonzero(np.diff(edges)).tolist():
                 lo, hi = edges[s], edges[s + 1]
-                if lo < hi:
-                    own, index = np.unique(key[lo:hi], return_inverse=True)
-                    at = np.searchsorted(key[lo:hi], own)
-                    blob = packing.pack(own, n[lo:hi][at].astype(np.uint32), index.astype(np.uint32), token[lo:hi], np.minimum(df[lo:hi], 2**32 - 1).astype(np.uint32))
-                    yield pa.RecordBatch.from_pydict({"slot": [s], "blob": [blob]}, schema=pa.schema([("slot", pa.int32()), ("blob", pa.binary())]))
+                own, index = np.unique(key[lo:hi], return_inverse=True)
+                at = np.searchsorted(key[lo:hi], own)
+                blob = packing.pack(own, n[lo:hi][at].astype(np.uint32), index.astype(np.uint32), token[lo:hi], np.minimum(df[lo:hi], 2**32 - 1).astype(np.uint32))
+                yield pa.RecordBatch.from_pydict({"slot": [s], "blob": [blob]}, schema=_SLOTS)
 
     return sent.mapInArrow(apply, "slot int, blob binary")
 
@@ -178,7 +182,7 @@ def _bins(tokens: np.ndarray) -> bytes:
     return (count if count.max() < 255 else np.full(BINS, 255)).astype(np.uint8).tobytes()
 
 
-SET_SCHEMA = "k long, n int, l int, prefix int, centre double, tokens binary, shared int, bins binary"
+SET_SCHEMA = "k long, n int, l int, prefix int, centre double, tokens binary, shared int, bins binary, heat binary"
 
 
 def _sets(counted: DataFrame) -> DataFrame:
@@ -199,35 +203,54 @@ def _sets(counted: DataFrame) -> DataFrame:
             stop = np.append(start[1:], len(key))
             alive = np.flatnonzero(stop - start >= need(n[start]))
             for lo in range(0, len(alive), 256):
-                out: list[list] = [[] for _ in range(8)]
+                out: list[list] = [[] for _ in range(9)]
                 for i in alive[lo : lo + 256]:
                     a, b = start[i], stop[i]
                     l, p = prefix(int(n[a]), df[a:b])
-                    for column, x in zip(out, (int(key[a].view(np.int64)), int(n[a]), l, p, float(df[a:b].sum()) / float(n[a]), token[a:b].astype("<u8").tobytes(), int(b - a), _bins(token[a:b]))):
+                    for column, x in zip(out, (int(key[a].view(np.int64)), int(n[a]), l, p, float(df[a:b].sum()) / float(n[a]), token[a:b].astype("<u8").tobytes(), int(b - a), _bins(token[a:b]), df[a:b].astype("<u4").tobytes())):
                         column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.int32(), pa.binary()))], ["k", "n", "l", "prefix", "centre", "tokens", "shared", "bins"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()))], ["k", "n", "l", "prefix", "centre", "tokens", "shared", "bins", "heat"])
 
     return counted.mapInArrow(apply, SET_SCHEMA)
 
 
-def _postings(sets: DataFrame, sketch: bool = False) -> DataFrame:
-    """(token, label, centre, k, n, l, shared) of every shingle in a prefix, or of the few shared shingles of least hash. ``sets`` has a column label."""
+POSTING = "token long, label long, centre double, k long, n int, l int, shared int, bins binary, side int"
+
+
+def _postings(sets: DataFrame, sketch: bool = False, hot: int = HOT) -> DataFrame:
+    """(token, label, centre, k, n, l, shared, bins, side) of the few shared shingles of least hash, or of every shingle in a prefix. ``sets`` has a
+    column label. Token stands for a group: a shingle, or part of one that more than ``hot`` classes hold. Such a shingle's classes fall
+    into blocks; for a sketch a block is a group (side 1), else each pair of blocks is (side 1 and 2; side 0: every pair counts)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 held = [np.frombuffer(t.as_buffer(), "<u8") for t in part.column(5)]
+                heat = [np.frombuffer(t.as_buffer(), "<u4") for t in part.column(9)]
                 if sketch:
-                    held = [t[np.argpartition(bt.mix(t), SKETCH)[:SKETCH]] if len(t) > SKETCH else t for t in held]
+                    at = [np.argpartition(bt.mix(t), SKETCH)[:SKETCH] if len(t) > SKETCH else np.arange(len(t)) for t in held]
                 else:
-                    held = [t[:c] for t, c in zip(held, part.column(3).to_numpy())]
-                token = np.concatenate(held).view(np.int64)
-                row = np.repeat(np.arange(part.num_rows), [len(t) for t in held])
+                    at = [np.arange(c) for c in part.column(3).to_numpy()]
+                token = np.concatenate([t[x] for t, x in zip(held, at)])
+                blocks = -(-np.concatenate([t[x] for t, x in zip(heat, at)]).astype(np.int64) // hot)
+                row = np.repeat(np.arange(part.num_rows), [len(x) for x in at])
+                own = (bt.mix(part.column(0).to_numpy()[row].view(np.uint64) + U(7)) % blocks.astype(np.uint64)).astype(np.int64)
+                side = np.zeros(len(row), np.int32)
+                if sketch:
+                    split = blocks > 1
+                    token, side = np.where(split, bt.mix(token ^ bt.mix(own.astype(np.uint64) + U(1))), token), split.astype(np.int32)
+                elif (blocks > 1).any():
+                    take_ = np.repeat(np.arange(len(row)), blocks)
+                    other = np.arange(len(take_)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    row, token, own, blocks = row[take_], token[take_], own[take_], blocks[take_]
+                    first, second = np.minimum(own, other), np.maximum(own, other)
+                    token = np.where(blocks > 1, bt.mix(token ^ bt.mix((first * (1 << 31) + second + 1).astype(np.uint64))), token)
+                    side = np.where(first == second, 0, np.where(own == first, 1, 2)).astype(np.int32)
                 take = lambda c: pa.array(part.column(c).to_numpy()[row])
-                yield pa.RecordBatch.from_arrays([pa.array(token), take(6), take(4), take(0), take(1), take(2), take(7), part.column(8).take(pa.array(row))], ["token", "label", "centre", "k", "n", "l", "shared", "bins"])
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), take(6), take(4), take(0), take(1), take(2), take(7), part.column(8).take(pa.array(row)), pa.array(side)], ["token", "label", "centre", "k", "n", "l", "shared", "bins", "side"])
 
-    return sets.select("k", "n", "l", "prefix", "centre", "tokens", "label", "shared", F.lit(b"").alias("bins") if sketch else "bins").mapInArrow(apply, "token long, label long, centre double, k long, n int, l int, shared int, bins binary")
+    return sets.select("k", "n", "l", "prefix", "centre", "tokens", "label", "shared", F.lit(b"").alias("bins") if sketch else "bins", "heat").mapInArrow(apply, POSTING)
 
 
 def _like(na: np.ndarray, nb: np.ndarray, shared_a: np.ndarray, shared_b: np.ndarray) -> np.ndarray:
@@ -249,7 +272,7 @@ def _pairs_table(a, b, least) -> pa.RecordBatch | None:
 
 
 def _central_pairs(postings: DataFrame) -> DataFrame:
-    """Pairs of each class with the most central class of the shingle and with the one before it; rows stream by."""
+    """Pairs of each class with the most central class of the group and with the one before it; rows stream by."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = before = None  # (token, k, n, l, shared)
@@ -283,17 +306,17 @@ def _cross_pairs(postings: DataFrame) -> DataFrame:
         held: list[tuple] = []
         size = 0
         for _, rows in packing.groups(batches):
-            label, k, n, l, shared = (np.concatenate([b.column(c).to_numpy() for b in rows]) for c in (1, 3, 4, 5, 6))
+            label, k, n, l, shared, side = (np.concatenate([b.column(c).to_numpy() for b in rows]) for c in (1, 3, 4, 5, 6, 8))
             if label[0] == label[-1]:  # sorted by component within the shingle
                 continue
             order = np.argsort(n, kind="stable")
-            label, k, n, l, shared = label[order], k[order], n[order], l[order], shared[order]
+            label, k, n, l, shared, side = label[order], k[order], n[order], l[order], shared[order], side[order]
             bins = np.frombuffer(b"".join(x.as_py() for b in rows for x in b.column(7)), np.uint8).reshape(-1, BINS)[order]
             boundless = bins[:, 0] == 255
             upto = np.searchsorted(n, (100 * n.astype(np.int64)) // PERCENT, "right")
             for i in range(len(k)):
                 span = slice(i + 1, upto[i])
-                other = np.flatnonzero((label[span] != label[i]) & _like(n[span], n[i : i + 1], shared[span], shared[i : i + 1])) + i + 1
+                other = np.flatnonzero((label[span] != label[i]) & ((side[span] != side[i]) | (side[i] == 0)) & _like(n[span], n[i : i + 1], shared[span], shared[i : i + 1])) + i + 1
                 if len(other):
                     bound = np.minimum(bins[other], bins[i]).sum(1, dtype=np.int64)
                     near = (100 + PERCENT) * bound >= PERCENT * (n[other].astype(np.int64) + n[i])
@@ -326,21 +349,31 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(apply, "a long, b long")
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+def _heads(sets: DataFrame, start: DataFrame, hot: int) -> DataFrame:
+    """Postings of the most central class of each block of a split shingle, under the shingle itself. Blocks meet as partial maxima."""
+    heads = start.where("side = 1").groupBy("token").agg(F.max_by("k", F.struct("centre", -F.col("k"))).alias("k")).select("k").distinct()
+    whole = _postings(sets.join(heads, "k", "left_semi").withColumn("label", F.col("k")), True, 2**31)
+    return whole
+
+
+def link(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document. Shingles of more than ``hot`` classes are split."""
     spark = docs.sparkSession
-    slots = tables.width(spark)
+    width = tables.width(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = tables.materialize(classes(docs), "near-classes")
-    sent = _send(docs.where(F.col("doc_id").isNotNull()), slots).repartitionById(slots, F.col("slot")).sortWithinPartitions("slot")
-    counted = _count(sent, slots).repartitionById(slots, F.col("slot")).sortWithinPartitions("slot")
-    sets = tables.materialize(_sets(counted), "near-sets")
-    by_token = lambda s, sketch: _postings(s, sketch).repartition(slots, "token")
-    start = by_token(sets.withColumn("label", F.col("k")), True).sortWithinPartitions("token", F.col("centre").desc(), "k")
-    links = tables.materialize(_verified(_central_pairs(start), sets), "near-links")
+    pieces = max(1, -(-(own.agg(F.sum("n")).first()[0] or 0) // (width * PIECE)))
+    slots = width * pieces
+    dealt = lambda rows: rows.repartitionById(width, (F.col("slot") / pieces).cast("int")).sortWithinPartitions("slot")
+    counted = _count(dealt(_send(docs.where(F.col("doc_id").isNotNull()), slots)), slots)
+    sets = tables.materialize(_sets(dealt(counted)), "near-sets")
+    start = _postings(sets.withColumn("label", F.col("k")), True, hot)
+    by_centre = lambda rows: rows.repartition(width, "token").sortWithinPartitions("token", F.col("centre").desc(), "k")
+    central = _central_pairs(by_centre(start))
+    links = tables.materialize(_verified(central.unionAll(_central_pairs(by_centre(_heads(sets, start, hot)))), sets), "near-links")
     labels = components.components(links)
     labelled = sets.join(labels.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("component", "k"))
-    rest = by_token(labelled, False).sortWithinPartitions("token", "label")
+    rest = _postings(labelled, False, hot).repartition(width, "token").sortWithinPartitions("token", "label")
     more = tables.materialize(_verified(_cross_pairs(rest), sets), "near-links")
     if not more.isEmpty():
         links = links.unionAll(more)
@@ -356,10 +389,12 @@ def link(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, the one of least doc_id; rows without doc_id stay."""
-    kept = link(docs).where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each component stays, the one of least doc_id; rows without doc_id stay. Of several rows of that doc_id, even of different
+    texts, the one of least hash stays."""
+    kept = link(docs).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.struct(F.xxhash64(F.col("text").cast("string")), F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])))).alias("h"))
+    one = rows.where("id is not null").join(kept, "id", "left_semi").groupBy("id").agg(F.min_by("row", "h").alias("row"))
+    return one.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,12 +75,13 @@ def fit(sample: list, share: float = 0.5, bits: int = BITS, rank: int = RANK, ep
     base, extra = 1 << bits, len(features.STRUCTURE)
     model = Machine(bits, 0.0, np.zeros(base + extra), rng.normal(0, 0.02, (base + extra, rank)), np.zeros(extra), np.ones(extra))
     if not sample:
+        model.factors[:] = 0
         return model
     table = np.stack([np.frombuffer(r.s, np.float32) for r in sample]).astype(float)
     model.mean[1:], model.spread[1:] = table[:, 1:].mean(0), np.maximum(table[:, 1:].std(0), 1e-3)
     model.prior = float(np.log(share / (1 - share))) if 0 < share < 1 else 0.0
     y = np.array([r.y for r in sample], float)
-    rows = [(np.frombuffer(r.b, np.int32), np.frombuffer(r.c, np.uint16).astype(float), model.scaled(np.frombuffer(r.s, np.float32).astype(float))) for r in sample]
+    rows = [(np.frombuffer(r.b, np.int32), np.frombuffer(r.c, np.uint32).astype(float), model.scaled(np.frombuffer(r.s, np.float32).astype(float))) for r in sample]
     rows = [(b, np.sqrt(c / max(c.sum(), 1)), s) for b, c, s in rows]
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     g_lin, g_fac, g_bias = np.full(base + extra, 1e-2), np.full((base + extra, rank), 1e-2), 1e-2

@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
 ``materialize`` cuts lineage by writing Parquet into the folder named by ``spark.checkpoint.dir`` and reading it back, so a lost
-executor costs only the stage in flight. A local folder is chosen only where that setting is absent (tests).
+executor costs only the stage in flight. A local folder serves only where that setting is absent and Spark runs on this machine alone.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from the session's settings."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = os.environ.setdefault("LEKTOR_LOCAL_SHARED", tempfile.mkdtemp(prefix="lektor-"))
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        found = os.environ.get("LEKTOR_LOCAL_SHARED") or os.environ.setdefault("LEKTOR_LOCAL_SHARED", tempfile.mkdtemp(prefix="lektor-"))
     return found.rstrip("/")
 
 

@@ -66,6 +66,21 @@ def test_mix(docs, rows):
     assert Counter(r.doc_id for r in mixed.collect()) == +want
 
 
+def test_mix_keeps_columns_of_any_name(docs):
+    from pyspark.sql import functions as F
+
+    clashing = ["_rows", "_id", "_copies", "_key", "_h", "_k", "_hash", "_copy", "row", "rows", "id", "h", "copies", "copy", "hash"]
+    wide = docs
+    for i, c in enumerate(clashing):
+        wide = wide.withColumn(c, F.lit(i))
+    out = mixing.mix(wide)
+    assert out.columns == wide.columns
+    plain = Counter(r.doc_id for r in mixing.mix(docs).collect())
+    rows_ = out.collect()
+    assert Counter(r.doc_id for r in rows_) == plain
+    assert all([r[c] for c in clashing] == list(range(len(clashing))) for r in rows_)
+
+
 def test_mix_of_nothing(nothing):
     assert mixing.mix_counts(nothing).count() == 0 and mixing.mix(nothing).count() == 0
 
@@ -167,6 +182,31 @@ def test_near_copies_chains(spark):
     assert got == cases.near_components(rows)
 
 
+def test_near_copies_of_hot_shingles(spark):
+    """Groups of near copies and common shingles, split into many blocks and not at all."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(60)]
+    base = [rng.choice(vocabulary) for _ in range(40)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:20] + [f"u{rng.randrange(10**6)}" for _ in range(20)]) for _ in range(30)] + [" ".join(base[k : k + 8]) for k in range(20)] * 2
+    rows = list(enumerate(texts))
+    want = cases.near_components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for hot in (2, 7, 10**6):
+        assert {r.doc_id: r.component_id for r in near_copies.link(docs, hot).collect()} == want
+
+
+def test_keep_one_of_a_shared_id(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six", "a"), (1, "quite another text that is here", "b"), (1, "one two three four five six", "c"), (2, "x y", "d")], "doc_id long, text string, row string")
+    first, again = (sorted(map(tuple, near_copies.keep_one(docs.repartition(n)).collect())) for n in (1, 4))
+    assert first == again and [r[0] for r in first] == [1, 2]
+
+
 def test_keep_one(docs, rows, nothing):
     kept = near_copies.keep_one(docs)
     assert set(kept.columns) == set(docs.columns)
@@ -201,8 +241,14 @@ def test_classifiers(spark, docs, rows, nothing):
     assert quality.score(nothing, model).count() == 0
     assert quality.keep_good(docs, model).columns == docs.columns
     toxic = toxicity.train(table, labels)
-    found = {r.doc_id: r.p_toxic >= 0.5 for r in toxicity.score(table, toxic).collect()}
-    assert np.mean([found[d] == (y[d][1] == 1) for d in y]) >= 0.9
+    scored = {r.doc_id: r for r in toxicity.score(table, toxic).collect()}
+    assert np.mean([(scored[d].p_toxic >= 0.5) == (y[d][1] == 1) for d in held]) >= 0.9  # rows never learned from
+    words = Counter(w for d, r in ((r.doc_id, r) for r in table.collect()) if d in y and y[d][1] and d not in held for w in set(cases.lowered_words(r.text)))
+    plain = Counter(w for r in table.collect() if r.doc_id in y and not y[r.doc_id][1] and r.doc_id not in held for w in set(cases.lowered_words(r.text)))
+    telling = {w for w, n in words.items() if n >= 3 and n > 20 * plain[w]}
+    counts = {r.doc_id: sum(w in telling for w in cases.lowered_words(r.text)) for r in table.collect()}
+    many, none = ([scored[d].severity for d in scored if test(counts[d])] for test in (lambda n: n >= 3, lambda n: n == 0))
+    assert telling and np.mean(many) > 0.8 and np.mean(none) < 0.2  # a plain count of telling words agrees
     out = toxicity.score(docs, toxic).collect()
     assert len(out) == len(rows) and all(0 <= r.severity <= 2 for r in out)
     assert toxicity.score(nothing, toxic).count() == 0
@@ -210,8 +256,46 @@ def test_classifiers(spark, docs, rows, nothing):
 
 def test_no_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert {r.score for r in quality.score(docs, quality.train(docs, none)).collect()} != set()
-    assert all(r.severity < 1e-9 for r in toxicity.score(docs, toxicity.train(docs, none)).collect())
+    assert {r.score for r in quality.score(docs, quality.train(docs, none)).collect()} == {0.5}
+    assert {r.severity for r in toxicity.score(docs, toxicity.train(docs, none)).collect()} == {0.0}
+
+
+def test_labels_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(i % 7, f"text {i} of some words", 20) for i in range(200)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(7)] * 3 + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    models = [quality.train(docs.repartition(n), labels, held_out=None) for n in (1, 4)]
+    assert (models[0].linear == models[1].linear).all()
+    assert toxicity.score(docs, toxicity.train(docs, labels, held_out=None)).count() == 200
+
+
+def test_tails_of_an_ordinal():
+    """The thresholds share the weights; the severity is the sum of the tails."""
+    model = toxicity.Ordinal(np.array([0.5, -1.0, 2.0, 0.0]), np.array([1.0, 2.5]))
+    got = model.tails(np.array([0, 2, 2, 3]), np.array([0, 2, 1]), np.array([1, 3, 1]))
+    plain = [[1 / (1 + np.exp(t - s)) for t in (1.0, 2.5)] for s in (0.5 * 1 + 2.0 * 2, 0.0, -1.0)]
+    assert got == pytest.approx(np.array(plain))
+
+
+def test_scores_of_texts_by_hand(spark):
+    """The machine's score of a table, against the double sum over all pairs of features."""
+    rng = np.random.default_rng(5)
+    bits, rank = 6, 3
+    size = (1 << bits) + len(quality.features.STRUCTURE)
+    model = quality.Machine(bits, 0.2, rng.normal(size=size), rng.normal(size=(size, rank)) / 3, np.zeros(size - (1 << bits)), np.ones(size - (1 << bits)), 0.1)
+    texts = ["some words here, some more", "UPPER and 123!", "", None, "x " * 50]
+    docs = spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    import pyarrow as pa
+
+    block = next(bytetext.blocks(pa.array(texts)))
+    first, bucket, count, structure = quality.features.rows(block, bits, np.array([np.nan if t is None else float(len(t)) for t in texts]))
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for d in range(len(texts)):
+        b, c = bucket[first[d] : first[d + 1]], count[first[d] : first[d + 1]]
+        x = np.zeros(size)
+        x[b] = np.sqrt(c / c.sum()) if len(c) else 0
+        x[1 << bits :] = np.clip(structure[d], -8, 8)
+        raw = 0.2 + 0.1 + x @ model.linear + sum(x[i] * x[j] * (model.factors[i] @ model.factors[j]) for i in range(size) for j in range(i) if x[i] and x[j])
+        assert got[d] == pytest.approx(1 / (1 + np.exp(-raw)))
 
 
 def test_sum_of_squares():
