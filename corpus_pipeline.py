@@ -1,8 +1,8 @@
 """A corpus in five stages: quality, near copies, repeated passages, mixture, pieces.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs. All but the
-last return the columns of ``documents``. What a stage keeps in the shared folder while it runs is removed when the next one starts, as
-its result has been written by then.
+last return the columns of ``documents``. What a stage keeps in the shared folder while it runs is removed when the next one starts on a
+result that has been written; one that starts on the frame itself leaves the tables it reads from alone.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ _leftover: list[str] = []
 
 def _stage(body: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _leftover:
-            tables.drop_path(spark, _leftover.pop())
+        read = docs.inputFiles() if _leftover else []
+        for path in [p for p in _leftover if not any(p in f for f in read)]:
+            tables.drop_path(spark, path)
+            _leftover.remove(path)
         since = tables.mark()
         out = body(spark, docs, sf_dir)
         _leftover.extend(tables.take(since))
