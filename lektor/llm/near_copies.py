@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from lektor.llm import bytetext as bt
 from lektor.llm import components, packing, tables
 
-WIDTH, PERCENT, MOST_MATCHES, VERIFY_COST, SKETCH, BINS, FLUSH, HOT, PIECE = 5, 75, 8, 8.0, 6, 64, 1 << 21, 512, 2_000_000
+WIDTH, PERCENT, MOST_MATCHES, VERIFY_COST, SKETCH, BINS, FLUSH, HOT, PIECE = 5, 75, 8, 8.0, 6, 64, 1 << 21, 512, 4_000_000
 U = np.uint64
 _SLOTS = pa.schema([("slot", pa.int32()), ("blob", pa.binary())])
 
@@ -182,11 +182,12 @@ def _bins(tokens: np.ndarray) -> bytes:
     return (count if count.max() < 255 else np.full(BINS, 255)).astype(np.uint8).tobytes()
 
 
-SET_SCHEMA = "k long, n int, l int, prefix int, centre double, tokens binary, shared int, bins binary, heat binary"
+SET_SCHEMA = "k long, n int, l int, prefix int, centre double, tokens binary, shared int, bins binary, blocks binary"
 
 
-def _sets(counted: DataFrame) -> DataFrame:
-    """The classes that can have a partner: size, l, length of the prefix, centrality, and shared shingles in the global order."""
+def _sets(counted: DataFrame, hot: int = HOT) -> DataFrame:
+    """The classes that can have a partner: size, l, length of the prefix, centrality, and shared shingles in the global order, with the
+    number of blocks that the classes of each fall into."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in packing.groups(batches):
@@ -207,9 +208,9 @@ def _sets(counted: DataFrame) -> DataFrame:
                 for i in alive[lo : lo + 256]:
                     a, b = start[i], stop[i]
                     l, p = prefix(int(n[a]), df[a:b])
-                    for column, x in zip(out, (int(key[a].view(np.int64)), int(n[a]), l, p, float(df[a:b].sum()) / float(n[a]), token[a:b].astype("<u8").tobytes(), int(b - a), _bins(token[a:b]), df[a:b].astype("<u4").tobytes())):
+                    for column, x in zip(out, (int(key[a].view(np.int64)), int(n[a]), l, p, float(df[a:b].sum()) / float(n[a]), token[a:b].astype("<u8").tobytes(), int(b - a), _bins(token[a:b]), np.minimum(-(-df[a:b].astype(np.int64) // hot), 65535).astype("<u2").tobytes())):
                         column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()))], ["k", "n", "l", "prefix", "centre", "tokens", "shared", "bins", "heat"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()))], ["k", "n", "l", "prefix", "centre", "tokens", "shared", "bins", "blocks"])
 
     return counted.mapInArrow(apply, SET_SCHEMA)
 
@@ -217,29 +218,29 @@ def _sets(counted: DataFrame) -> DataFrame:
 POSTING = "token long, label long, centre double, k long, n int, l int, shared int, bins binary, side int"
 
 
-def _postings(sets: DataFrame, sketch: bool = False, hot: int = HOT) -> DataFrame:
+def _postings(sets: DataFrame, sketch: bool = False, split: bool = True) -> DataFrame:
     """(token, label, centre, k, n, l, shared, bins, side) of the few shared shingles of least hash, or of every shingle in a prefix. ``sets`` has a
-    column label. Token stands for a group: a shingle, or part of one that more than ``hot`` classes hold. Such a shingle's classes fall
-    into blocks; for a sketch a block is a group (side 1), else each pair of blocks is (side 1 and 2; side 0: every pair counts)."""
+    column label. Token stands for a group: a shingle, or part of one whose classes fall
+    into several blocks (unless not to be ``split``); for a sketch a block is a group (side 1), else each pair of blocks is (side 1 and 2; side 0: every pair counts)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 held = [np.frombuffer(t.as_buffer(), "<u8") for t in part.column(5)]
-                heat = [np.frombuffer(t.as_buffer(), "<u4") for t in part.column(9)]
+                blocks_of = [np.frombuffer(t.as_buffer(), "<u2") for t in part.column(9)]
                 if sketch:
                     at = [np.argpartition(bt.mix(t), SKETCH)[:SKETCH] if len(t) > SKETCH else np.arange(len(t)) for t in held]
                 else:
                     at = [np.arange(c) for c in part.column(3).to_numpy()]
                 token = np.concatenate([t[x] for t, x in zip(held, at)])
-                blocks = -(-np.concatenate([t[x] for t, x in zip(heat, at)]).astype(np.int64) // hot)
+                blocks = np.concatenate([t[x] for t, x in zip(blocks_of, at)]).astype(np.int64) if split else np.ones(len(token), np.int64)
                 row = np.repeat(np.arange(part.num_rows), [len(x) for x in at])
                 own = (bt.mix(part.column(0).to_numpy()[row].view(np.uint64) + U(7)) % blocks.astype(np.uint64)).astype(np.int64)
                 side = np.zeros(len(row), np.int32)
                 if sketch:
-                    split = blocks > 1
-                    token, side = np.where(split, bt.mix(token ^ bt.mix(own.astype(np.uint64) + U(1))), token), split.astype(np.int32)
+                    parted = blocks > 1
+                    token, side = np.where(parted, bt.mix(token ^ bt.mix(own.astype(np.uint64) + U(1))), token), parted.astype(np.int32)
                 elif (blocks > 1).any():
                     take_ = np.repeat(np.arange(len(row)), blocks)
                     other = np.arange(len(take_)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
@@ -250,7 +251,7 @@ def _postings(sets: DataFrame, sketch: bool = False, hot: int = HOT) -> DataFram
                 take = lambda c: pa.array(part.column(c).to_numpy()[row])
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), take(6), take(4), take(0), take(1), take(2), take(7), part.column(8).take(pa.array(row)), pa.array(side)], ["token", "label", "centre", "k", "n", "l", "shared", "bins", "side"])
 
-    return sets.select("k", "n", "l", "prefix", "centre", "tokens", "label", "shared", F.lit(b"").alias("bins") if sketch else "bins", "heat").mapInArrow(apply, POSTING)
+    return sets.select("k", "n", "l", "prefix", "centre", "tokens", "label", "shared", F.lit(b"").alias("bins") if sketch else "bins", "blocks").mapInArrow(apply, POSTING)
 
 
 def _like(na: np.ndarray, nb: np.ndarray, shared_a: np.ndarray, shared_b: np.ndarray) -> np.ndarray:
@@ -349,11 +350,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(apply, "a long, b long")
 
 
-def _heads(sets: DataFrame, start: DataFrame, hot: int) -> DataFrame:
+def _heads(sets: DataFrame, start: DataFrame) -> DataFrame:
     """Postings of the most central class of each block of a split shingle, under the shingle itself. Blocks meet as partial maxima."""
     heads = start.where("side = 1").groupBy("token").agg(F.max_by("k", F.struct("centre", -F.col("k"))).alias("k")).select("k").distinct()
-    whole = _postings(sets.join(heads, "k", "left_semi").withColumn("label", F.col("k")), True, 2**31)
-    return whole
+    return _postings(sets.join(heads, "k", "left_semi").withColumn("label", F.col("k")), True, False)
 
 
 def link(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -366,14 +366,14 @@ def link(docs: DataFrame, hot: int = HOT) -> DataFrame:
     slots = width * pieces
     dealt = lambda rows: rows.repartitionById(width, (F.col("slot") / pieces).cast("int")).sortWithinPartitions("slot")
     counted = _count(dealt(_send(docs.where(F.col("doc_id").isNotNull()), slots)), slots)
-    sets = tables.materialize(_sets(dealt(counted)), "near-sets")
-    start = _postings(sets.withColumn("label", F.col("k")), True, hot)
+    sets = tables.materialize(_sets(dealt(counted), hot), "near-sets")
+    start = _postings(sets.withColumn("label", F.col("k")), True)
     by_centre = lambda rows: rows.repartition(width, "token").sortWithinPartitions("token", F.col("centre").desc(), "k")
     central = _central_pairs(by_centre(start))
-    links = tables.materialize(_verified(central.unionAll(_central_pairs(by_centre(_heads(sets, start, hot)))), sets), "near-links")
+    links = tables.materialize(_verified(central.unionAll(_central_pairs(by_centre(_heads(sets, start)))), sets), "near-links")
     labels = components.components(links)
     labelled = sets.join(labels.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("component", "k"))
-    rest = _postings(labelled, False, hot).repartition(width, "token").sortWithinPartitions("token", "label")
+    rest = _postings(labelled).repartition(width, "token").sortWithinPartitions("token", "label")
     more = tables.materialize(_verified(_cross_pairs(rest), sets), "near-links")
     if not more.isEmpty():
         links = links.unionAll(more)
