@@ -48,6 +48,41 @@ def test_numbering_resets():
     assert [r[8] for r in rows] == ["1.", "1.1", "1.2", "2.", "2.1"]
 
 
+def _listed(levels, texts, kinds=("decimal",) * 3, starts=(1, 1, 1)):
+    """Labels of paragraphs (list, level) where two lists share one abstract definition."""
+    own = "".join(f'<w:lvl w:ilvl="{i}"><w:start w:val="{st}"/><w:numFmt w:val="{k}"/><w:lvlText w:val="{t}"/></w:lvl>' for i, (t, k, st) in enumerate(zip(texts, kinds, starts)))
+    root = ooxml.ET.fromstring(f'<w:numbering {W}><w:abstractNum w:abstractNumId="4">{own}</w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="4"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="4"/></w:num></w:numbering>')
+    numbering = ooxml.Numbering(root)
+    return [numbering.label(num, level) for num, level in levels]
+
+
+def test_numbering_of_shared_definitions():
+    assert [x for x, _ in _listed([("1", 0), ("2", 0), ("1", 1), ("2", 1), ("1", 0), ("1", 2)], ("%1)", "%1.%2", "%1.%2.%3"))] == ["1)", "2)", "2.1", "2.2", "3)", "3.1.1"]
+    assert [x for x, _ in _listed([("1", 0), ("1", 1), ("1", 1)], ("%1.", "%2)", "-"), ("upperLetter", "lowerLetter", "bullet"), (3, 1, 1))] == ["C.", "a)", "b)"]
+    assert _listed([("1", 0), ("1", 1), ("1", 2), ("9", 0)], ("%1", "", "*"), ("decimalZero", "none", "bullet")) == [("1", "decimal"), ("", None), ("", "bullet"), (None, None)]
+
+
+def test_theme_fonts():
+    theme = ooxml.ET.fromstring('<a:theme xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:minorFont><a:latin typeface="Poppins"/><a:cs typeface=""/><a:font script="Arab" typeface="Noto"/></a:minorFont></a:theme>')
+    styles = ooxml.Styles(None, ooxml.Theme(theme))
+    node = lambda how: [ooxml.ET.fromstring(f"<w:rPr {W}><w:rFonts {how}/></w:rPr>")]
+    assert styles.font(node('w:asciiTheme="minorHAnsi"'), "ascii") == "Poppins" and styles.font(node('w:cstheme="minorBidi"'), "cs") == "Noto"
+    assert styles.font(node('w:hAnsi="Own" w:asciiTheme="minorHAnsi"'), "ascii") == "Own" and styles.font(node(""), "ascii") is None
+
+
+def test_circular_styles():
+    assert ooxml._lineages({"a": "b", "b": "c", "c": "a", "d": "a", "e": "x"}) == {"a": ["a", "b", "c"], "b": ["b", "c", "a"], "c": ["c", "a", "b"], "d": ["d", "a", "b", "c"], "e": ["e"]}
+
+
+def test_footers_and_image_sizes():
+    footer = f'<w:ftr {W}><w:p><w:r><w:t>Plan v2</w:t></w:r><w:r><w:instrText> PAGE </w:instrText></w:r><w:fldSimple w:instr="DATE x"/></w:p></w:ftr>'
+    assert list(ooxml.docx_parts(archive({"word/footer1.xml": footer, "word/document.xml": "<x/>"}))) == [("footer", "Plan v2", ["PAGE", "DATE"])]
+    assert ooxml.image_size(b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")) == (640, 480)
+    assert ooxml.image_size(b"GIF89a" + (7).to_bytes(2, "little") + (9).to_bytes(2, "little")) == (7, 9)
+    assert ooxml.image_size(b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x00\x10\x00\x20\x01\x01") == (32, 16)
+    assert ooxml.image_size(b"?") == (None, None)
+
+
 def test_package(spark, tmp_path):
     names = ["Course/Chapter 1/Lesson 2/LessonPlan-v1.docx", "Course/Spec-v0.1.docx", "Course/Spec-v1.10.docx", "Course/Spec-v1.9.docx", "Course/notes.txt", "Course/~$Spec.docx", "__MACOSX/x"]
     (tmp_path / "p.zip").write_bytes(archive({n: docx(para(n)) if n.endswith("docx") else "t" for n in names}))
