@@ -40,7 +40,7 @@ def verdicts(answers: DataFrame) -> DataFrame:
 
 def quoted(rows: DataFrame, quote: str, material: str, shortest: int = 8) -> DataFrame:
     """Rows with ``kept``: whether all fragments of the quote (cut at ellipses, bracketed ones with what they hold; short ones ignored) stand in the material."""
-    fragments = F.filter(F.transform(F.split(F.col(quote), r"\.\.\.|…|\[\.\.\.[^\]]*\]"), T.loose), lambda f: F.length(f) >= shortest)
+    fragments = T.fragments(F.col(quote), shortest)
     hay = T.loose(F.col(material))
     return rows.withColumn("kept", F.coalesce((F.size(fragments) > 0) & F.forall(fragments, lambda f: F.contains(hay, f)), F.lit(False)))
 

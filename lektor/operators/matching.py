@@ -17,16 +17,17 @@ RIGHT_BLOCK, SHORT_BLOCK = 10_000, 1_000
 def contains_pairs(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str) -> DataFrame:
     """Pairs in which the document holds the item's whole text.
 
-    Wherever an item of seven words or more stands in a text, its words two to six stand there as whole words, so the join hashes on them before
-    the whole text is compared. Shorter items go to every task in blocks of SHORT_BLOCK; each text is read once a block. An empty item is in every
-    text.
+    Wherever an item of seven words or more stands in a text, its words two to six stand there as whole words, so the join hashes on them, without
+    the texts (Spark broadcasts the items' hashes where their size is known to be small); texts come back for the pairs that are left.
+    Shorter items go to every task in blocks of SHORT_BLOCK; each text is read once a block. An empty item is in every text.
     """
     words = F.split(F.col("text"), r"\s+")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(F.col("_w"), i, F.lit(5))))
-    a = docs.select(doc_key, F.col("text").alias("_hay"), words.alias("_w")).select(doc_key, "_hay", F.explode(F.array_distinct(grams)).alias("_g"))
+    a = docs.select(doc_key, words.alias("_w")).select(doc_key, F.explode(F.array_distinct(grams)).alias("_g"))
     needles = items.select(item_key, F.col("text").alias("_needle"), words.alias("_v")).where("_needle is not null")
-    b = needles.where(F.size("_v") >= 7).select(item_key, "_needle", F.xxhash64(F.slice(F.col("_v"), F.lit(2), F.lit(5))).alias("_g"))
-    found = a.join(b, "_g").where(F.col("_hay").contains(F.col("_needle"))).select(doc_key, item_key)
+    b = needles.where(F.size("_v") >= 7).select(item_key, F.xxhash64(F.slice(F.col("_v"), F.lit(2), F.lit(5))).alias("_g"))
+    pairs = a.join(b, "_g").select(doc_key, item_key).distinct()
+    found = pairs.join(docs.select(doc_key, F.col("text").alias("_hay")), doc_key).join(needles.select(item_key, "_needle"), item_key).where(F.col("_hay").contains(F.col("_needle"))).select(doc_key, item_key)
     short, block = needles.where(F.size("_v") < 7).select(item_key, "_needle"), []
     for row in short.toLocalIterator():
         block.append(row)
@@ -46,14 +47,14 @@ def gaps(items: DataFrame, hits: DataFrame, key: str) -> DataFrame:
     return items.join(hits.select(key).distinct(), key, "left_anti")
 
 
-def title_votes(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """The right row that shares the most title words with each left row, where that is unique."""
-    a = left.select(left_key, F.explode(F.array_distinct(T.tokens(F.col("title")))).alias("w"))
-    b = right.select(right_key, F.explode(F.array_distinct(T.tokens(F.col("title")))).alias("w"))
+def title_votes(left: DataFrame, right: DataFrame, left_key: str, right_key: str, stop: list[str] = ()) -> DataFrame:
+    """The right row that shares the most title words with each left row, where that is unique. ``stop`` words don't count."""
+    words = lambda c: F.array_except(F.array_distinct(T.tokens(F.col(c))), F.array(*map(F.lit, stop))) if stop else F.array_distinct(T.tokens(F.col(c)))
+    a = left.select(left_key, F.explode(words("title")).alias("w"))
+    b = right.select(right_key, F.explode(words("title")).alias("w"))
     votes = a.join(b, "w").groupBy(left_key, right_key).agg(F.count(F.lit(1)).alias("shared"))
-    best = Window.partitionBy(left_key)
-    ranked = votes.withColumn("top", F.max("shared").over(best)).where("shared = top").withColumn("n", F.count(F.lit(1)).over(best))
-    return ranked.where("n = 1").select(left_key, right_key, "shared")
+    tops = votes.groupBy(left_key).agg(F.max(F.struct("shared", right_key)).alias("m"), F.array_sort(F.collect_list("shared")).alias("_s"))
+    return tops.where((F.size("_s") == 1) | (F.element_at("_s", -1) > F.coalesce(F.try_element_at("_s", F.lit(-2)), F.lit(0)))).select(left_key, F.col(f"m.{right_key}").alias(right_key), "m.shared")
 
 
 def similar_lines(left: DataFrame, right: DataFrame, least: float, junk: bool = False) -> DataFrame:
@@ -94,27 +95,29 @@ def document_frequency(docs: DataFrame, key: str) -> DataFrame:
     return terms(docs, key).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: int) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: int, digits: int = 6) -> DataFrame:
     """The k best documents of each query: idf = ln(1 + (N - df + 0.5) / (df + 0.5)), score = sum idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len / avg)).
 
-    Repeated query words count again; ties by document.
+    Only terms that some query asks for leave the documents' words. Repeated query words count again; scores are rounded to ``digits``,
+    ties go by document.
     """
-    tf = terms(docs, doc_key)
     asked = queries.select(query_key, F.explode(T.tokens(F.col("text"))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("q"))
-    size = docs.select(F.size(T.tokens(F.col("text"))).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
+    words = docs.select(doc_key, T.tokens(F.col("text")).alias("t")).select(doc_key, F.size("t").alias("len"), F.explode("t").alias("term"))
+    tf = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy(doc_key, "len", "term").agg(F.count(F.lit(1)).alias("f"))
+    size = docs.select(F.regexp_count(F.lower("text"), F.lit(T.TOKEN)).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = tf.join(df.join(asked.select("term").distinct(), "term", "left_semi"), "term").join(asked, "term").crossJoin(F.broadcast(size))  # one row
+    hits = tf.join(asked.join(df, "term"), "term").crossJoin(F.broadcast(size))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("q") * idf * F.col("f") * 2.5 / (F.col("f") + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("avg")))
-    scored = hits.groupBy(query_key, doc_key).agg(F.round(F.sum(part), 6).alias("score"))
+    scored = hits.groupBy(query_key, doc_key).agg(F.round(F.sum(part), digits).alias("score"))
     w = Window.partitionBy(query_key).orderBy(F.col("score").desc(), doc_key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def first_place(lines: DataFrame, items: DataFrame, item_key: str) -> DataFrame:
-    """The first paragraph, by document and place, that contains each item."""
-    hits = lines.join(F.broadcast(items), F.col("line").contains(F.col("text")))
-    return hits.groupBy(item_key).agg(F.min(F.struct("doc_id", "idx")).alias("p")).select(item_key, F.col("p.doc_id").alias("doc_id"), F.col("p.idx").alias("idx"))
+def passages(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: int, longest: int) -> DataFrame:
+    """(query, rank, document, passage): the first ``longest`` characters of each query's best documents, as material for a judgement."""
+    best = bm25(docs, queries, doc_key, query_key, k)
+    return best.join(docs.select(doc_key, F.left(F.trim("text"), F.lit(longest)).alias("passage")), doc_key).select(query_key, "rank", doc_key, "passage")
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], prefer: Column) -> DataFrame:

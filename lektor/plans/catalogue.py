@@ -61,15 +61,9 @@ def doc_profile(spark, d):
     return _lines(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("paras"), F.sum(n).alias("chars"), F.max(n).alias("longest"), F.avg(n).alias("mean_len"))
 
 
-@query("""SELECT doc_id, translate(left(text, 200), '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789') AS folded, len(regexp_extract_all(text, '[0-9]'))::INT AS digits,
- len(regexp_extract_all(text, '[٠-٩۰-۹]'))::INT AS other_digits FROM documents""")
-def western_digits(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.western_digits(F.left("text", F.lit(200))).alias("folded"), F.regexp_count("text", F.lit("[0-9]")).alias("digits"), F.regexp_count("text", F.lit("[٠-٩۰-۹]")).alias("other_digits"))
-
-
 @query("SELECT doc_id, md5(translate(text, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789')) AS digest FROM documents")
-def western_digits_whole(spark, d):
-    """Digest of each whole text with its digits folded; ``western_digits`` and its SQL fold the first 200 characters."""
+def western_digits(spark, d):
+    """Digest of each whole text with its digits folded."""
     return table(spark, d, "documents").select("doc_id", F.md5(T.western_digits(F.col("text"))).alias("digest"))
 
 
@@ -85,7 +79,7 @@ def dominant_language(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(a.alias("ascii_letters"), o.alias("other"), F.when(a + o == 0, None).when(o * 20 >= a, "accented").otherwise("plain").alias("kind"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS loose FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS loose FROM documents")
 def loose_form(spark, d):
     return table(spark, d, "documents").select("doc_id", T.loose(F.col("text")).alias("loose"))
 
@@ -99,11 +93,11 @@ def comparison_form(spark, d):
 _LABELS = ["released under", "the and attion", "licensed under", "permission is"]
 
 
-@query(r"""WITH {PARAS}, b AS (SELECT doc_id, idx, regexp_replace(lower(trim(regexp_replace(line, '[\x20\x09-\x0D\x{00A0}]+', ' ', 'g'))), '^[0-9.)\-*# ]+', '') AS s FROM paras),
- l AS (SELECT unnest(['released under', 'the and attion', 'licensed under', 'permission is']) AS label)
- SELECT DISTINCT doc_id, idx::INT AS idx, s AS bare FROM b, l WHERE starts_with(s, label) AND (substr(s, length(label) + 1) = '' OR regexp_matches(substr(s, length(label) + 1), '^ ?[:.\-]') OR length(s) <= 80)""")
+@query(r"""WITH {PARAS}, b AS (SELECT doc_id, idx, regexp_replace(lower(trim(regexp_replace(line, '[\s\x{00A0}]+', ' ', 'g'))), '^[ 0-9.()\-–—•*#]+', '') AS s FROM paras),
+ l AS (SELECT unnest(['released under', 'the and attion', 'licensed under', 'permission is']) AS label), r AS (SELECT *, ltrim(substr(s, length(label) + 1)) AS rest FROM b, l WHERE starts_with(s, label))
+ SELECT DISTINCT doc_id, idx::INT AS idx, s AS bare FROM r WHERE rest = '' OR regexp_matches(rest, '^[:：—–\-|·]') OR length(s) <= 80""")
 def label_prefix(spark, d):
-    bare = F.regexp_replace(F.lower(T.squeeze(F.col("line"))), r"^[0-9.)\-*# ]+", "")
+    bare = F.regexp_replace(F.lower(T.fold(F.col("line"))), "^[ 0-9.()\\-–—•*#]+", "")
     return _lines(spark, d).where(T.starts_with_label(F.col("line"), _LABELS)).select("doc_id", "idx", bare.alias("bare"))
 
 
@@ -155,7 +149,7 @@ def duration_parse(spark, d):
     text = F.when(k == 0, F.concat(m.cast("string"), F.lit(":"), F.lpad((n % 60).cast("string"), 2, "0"))).when(k == 1, F.concat(m.cast("string"), F.lit(" s"))).otherwise(F.concat(m.cast("string"), F.lit("-"), (m + 2).cast("string"), F.lit(" min")))
     rows = spark.range(500).select(n.alias("n"), text.alias("text"))
     span = T.minutes_range(F.col("text"))
-    return rows.select("n", "text", T.seconds(F.col("text")).alias("secs"), span["lo"].alias("lo"), span["hi"].alias("hi"))
+    return rows.select("n", "text", T.seconds(F.col("text")).cast("int").alias("secs"), span["lo"].alias("lo"), span["hi"].alias("hi"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_valid(props) AS valid FROM events")
@@ -380,19 +374,10 @@ def presence_missing(spark, d):
     return matching.gaps(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id").select("doc_id", "source")
 
 
-@query("""WITH l AS (SELECT doc_id, quality AS value_l FROM labels WHERE doc_id % 3 <> 0), r AS (SELECT doc_id, toxic AS value_r FROM labels WHERE doc_id % 5 <> 0)
- SELECT doc_id, CASE WHEN value_l IS NOT NULL AND (value_l = 1 OR value_r IS NULL) THEN 'left' WHEN value_r IS NOT NULL THEN 'right' END AS source,
- CASE WHEN value_l IS NOT NULL AND (value_l = 1 OR value_r IS NULL) THEN value_l ELSE value_r END AS value FROM l FULL JOIN r USING (doc_id)""")
-def full_reconcile(spark, d):
-    t = table(spark, d, "labels")
-    left, right = t.where("doc_id % 3 <> 0").select("doc_id", F.col("quality").alias("value_l")), t.where("doc_id % 5 <> 0").select("doc_id", F.col("toxic").alias("value_r"))
-    return matching.reconcile(left, right, ["doc_id"], F.col("value_l") == 1).select("doc_id", "source", "value")
-
-
 @query("""SELECT doc_id, CASE WHEN l.quality IS NOT NULL AND (l.quality = 1 OR l.toxic IS NULL) THEN 'left' WHEN l.toxic IS NOT NULL THEN 'right' END AS source,
  CASE WHEN l.quality IS NOT NULL AND (l.quality = 1 OR l.toxic IS NULL) THEN l.quality ELSE l.toxic END AS value FROM labels l""")
-def full_reconcile_all(spark, d):
-    """Quality labels against toxic labels with all rows on each side; ``full_reconcile`` and its SQL take part of the ids."""
+def full_reconcile(spark, d):
+    """Quality labels against toxic labels."""
     t = table(spark, d, "labels")
     return matching.reconcile(t.select("doc_id", F.col("quality").alias("value_l")), t.select("doc_id", F.col("toxic").alias("value_r")), ["doc_id"], F.col("value_l") == 1).select("doc_id", "source", "value")
 
@@ -404,21 +389,12 @@ def marks_locate(spark, d):
     return hits.groupBy("item_id").agg(F.min("place").alias("p")).select("item_id", "p.doc_id", "p.idx")
 
 
-@query(r"""WITH a AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS t FROM pages WHERE page_id % 2 = 0), b AS (SELECT page_id AS other_id, regexp_extract(html, '<title>([^<]*)', 1) AS t FROM pages WHERE page_id % 2 = 1),
- ta AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(lower(t), '[a-z]{2,}')) AS w FROM a), tb AS (SELECT DISTINCT other_id, unnest(regexp_extract_all(lower(t), '[a-z]{2,}')) AS w FROM b),
- v AS (SELECT page_id, other_id, count(*) AS shared FROM ta JOIN tb USING (w) GROUP BY ALL), m AS (SELECT *, max(shared) OVER (PARTITION BY page_id) AS top FROM v),
- u AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM m WHERE shared = top) SELECT page_id, other_id, shared FROM u WHERE n = 1""")
-def title_vote(spark, d):
-    p = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
-    return matching.title_votes(p.where("page_id % 2 = 0"), p.where("page_id % 2 = 1").withColumnRenamed("page_id", "other_id"), "page_id", "other_id")
-
-
 @query(r"""WITH a AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS t FROM pages), b AS (SELECT conv_id, arg_min(text, turn) AS t FROM conversations GROUP BY conv_id),
- ta AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(lower(t), '[a-z]{2,}')) AS w FROM a), tb AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(t), '[a-z]{2,}')) AS w FROM b),
+ ta AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(lower(t), '\p{L}{2,}')) AS w FROM a), tb AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(t), '\p{L}{2,}')) AS w FROM b),
  v AS (SELECT page_id, conv_id, count(*) AS shared FROM ta JOIN tb USING (w) GROUP BY ALL), m AS (SELECT *, max(shared) OVER (PARTITION BY page_id) AS top FROM v),
  u AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM m WHERE shared = top) SELECT page_id, conv_id, shared FROM u WHERE n = 1""")
-def title_vote_all(spark, d):
-    """Titles of all pages against the first turns of all conversations; ``title_vote`` and its SQL let even pages vote on odd ones."""
+def title_vote(spark, d):
+    """Titles of all pages against the first turns of all conversations."""
     p = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("title"))
     return matching.title_votes(p, c, "page_id", "conv_id")
@@ -437,17 +413,15 @@ def exact_duplicates(spark, d):
     return table(spark, d, "documents").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{2,}') AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS a FROM t), tf AS (SELECT doc_id, len AS len, term, count(*) AS f FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM t) GROUP BY ALL),
- df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), q AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM benchmark) GROUP BY ALL),
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}{2,}') AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS a FROM t), tf AS (SELECT doc_id, len AS len, term, count(*) AS f FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM t) GROUP BY ALL),
+ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), q AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '\p{L}{2,}')) AS term FROM benchmark) GROUP BY ALL),
  sc AS (SELECT item_id, doc_id, round(sum(q * ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len / a))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term), s GROUP BY ALL),
  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 3) DESC, doc_id) AS rank FROM sc) SELECT item_id, doc_id, rank::INT AS rank, round(score, 3) AS score FROM r WHERE rank <= 3""")
 def bm25_topk(spark, d):
-    got = matching.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", 8)
-    w = Window.partitionBy("item_id").orderBy(F.round("score", 3).desc(), "doc_id")
-    return got.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("item_id", "doc_id", "rank", F.round("score", 3).alias("score"))
+    return matching.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", 3, 3).select("item_id", "doc_id", "rank", "score")
 
 
-@query("SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents) GROUP BY term")
+@query(r"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}{2,}')) AS term FROM documents) GROUP BY term")
 def doc_frequency(spark, d):
     return matching.document_frequency(table(spark, d, "documents"), "doc_id")
 
@@ -556,18 +530,10 @@ def notes_text(spark, d):
     return sinks.notes(_findings(spark, d))
 
 
-@query(r"""WITH q AS (SELECT c.conv_id, c.turn, trim(regexp_replace(lower(left(c.text, 40)), '[^a-z0-9]+', ' ', 'g')) AS f, trim(regexp_replace(lower(d.text), '[^a-z0-9]+', ' ', 'g')) AS m
- FROM conversations c JOIN documents d ON d.doc_id = c.conv_id) SELECT conv_id, turn, length(f) >= 8 AND contains(m, f) AS kept FROM q""")
-def verify_quotes(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("material"))
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.left("text", F.lit(40)).alias("quote")).join(docs, "conv_id")
-    return assisted.quoted(rows.withColumn("quote", F.regexp_replace("quote", r"\.\.\.|…", " ")), "quote", "material").select("conv_id", "turn", "kept")
-
-
-@query(r"""WITH q AS (SELECT c.conv_id, c.turn, list_filter(list_transform(string_split_regex(c.text, '\.\.\.|…|\[\.\.\.[^\]]*\]'), lambda p: trim(regexp_replace(lower(p), '[^a-z0-9]+', ' ', 'g'))), lambda f: length(f) >= 8) AS fs,
- trim(regexp_replace(lower(d.text), '[^a-z0-9]+', ' ', 'g')) AS m FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id)
+@query(r"""WITH q AS (SELECT c.conv_id, c.turn, list_filter(list_transform(string_split_regex(c.text, '\.\.\.|…|\[\.\.\.[^\]]*\]'), lambda p: trim(regexp_replace(lower(p), '[^\p{L}\p{N}_]+', ' ', 'g'))), lambda f: length(f) >= 8) AS fs,
+ trim(regexp_replace(lower(d.text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS m FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id)
  SELECT conv_id, turn, coalesce(len(fs) > 0 AND len(list_filter(fs, lambda f: contains(m, f))) = len(fs), false) AS kept FROM q""")
-def verify_quotes_whole(spark, d):
+def verify_quotes(spark, d):
     """Every turn's whole text as a quote, cut at its ellipses; ``verify_quotes`` and its SQL take the first 40 characters of turns with a document."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("material"))
     rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("quote")).join(docs, "conv_id", "left")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_sources import docx, para
 
-from lektor.operators import assisted, packing, rules, sinks
+from lektor.operators import assessments, assisted, packing, rules, sinks
 from lektor.sources import ooxml
 from lektor.streaming import windows
 
@@ -59,16 +59,20 @@ def test_sections_and_questions(spark):
     table = paras(spark, para("Intro: x") + para("Main part") + para("Close"), para("Close") + para("Intro") + para("Main part"))
     assert verdicts(rules.sections_in_order(table, labels)) == {"d0.docx": "pass", "d1.docx": "fail"}
     quiz = paras(spark, "".join(para(x) for x in ("1. First?", "a) x", "b) y", "c) z", "2) Second ____", "3: True or false: it rains")))
-    got = rules.questions(quiz).orderBy("num").collect()
+    got = assessments.questions(quiz).orderBy("num").collect()
     assert [(r.num, r.kind) for r in got] == [(1, "mcq"), (2, "fill_blank"), (3, "true_false")]
-    row = rules.count_between(rules.questions(quiz), "PQ1", 2, 3).first()
+    row = assessments.counted({"paras": quiz}, "PQ1", 2, 3, 0.3).first()
     assert (row.status, row.partial) == ("pass", True)
 
 
 def test_slides(spark):
-    rows = [("g.pptx", 1, "Cover", [], "n"), ("g.pptx", 2, "A", ["18-20 min"], "n"), ("g.pptx", 3, "B", ["20 min"], "")]
+    slide = lambda rel, k, title, text, notes: (rel, k, title, [text], notes, 12192000, 6858000, [{"kind": "ftr", "text": "Guide v1"}, {"kind": "sldNum", "text": "1"}, {"kind": "dt", "text": "d"}], [], [{"text": text, "font": "Poppins", "size": 12.0, "bold": False, "color": None, "spacing": 1.5}])
+    rows = [slide("g", 1, "Cover", "Duration: 40 minutes", "Time: 2 min"), slide("g", 2, "A", "x", "18-20 min"), slide("g", 3, "B", "y", "19 min")]
+    rows += [slide("b", 1, "Cover", "x", "1 min"), slide("b", 2, "A", "x", "")]
     t = {"slides": spark.createDataFrame(rows, ooxml.SLIDES)}
-    assert verdicts(rules.notes_everywhere(t)) == {"g.pptx": "fail"} and verdicts(rules.timed(t)) == {"g.pptx": "pass"}
+    assert verdicts(rules.notes_everywhere(t)) == {"g": "pass", "b": "fail"} and verdicts(rules.timed(t)) == {"g": "pass", "b": "fail"}
+    assert verdicts(rules.cover_duration(t)) == {"g": "pass", "b": "pass"} and verdicts(rules.slide_shape(t)) == {"g": "pass", "b": "pass"}
+    assert verdicts(rules.slide_footers(t)) == {"g": "pass", "b": "pass"}
 
 
 def test_chunks_lose_nothing(spark):

@@ -32,7 +32,7 @@ def test_labels(spark):
     assert not one(spark, "introduction to a very long sentence " * 4, lambda c: T.starts_with_label(c, ["introduction"]))
 
 
-@pytest.mark.parametrize("text, want", [("Lesson-Plan-v2-Final", [2]), ("plan v1.2", [1, 2]), ("none", [])])
+@pytest.mark.parametrize("text, want", [("Lesson-Plan-v2-Final", [2]), ("plan v1.2 of v3", [1, 2]), ("none", [])])
 def test_version(spark, text, want):
     assert one(spark, text, T.version_key) == want
 
@@ -101,7 +101,7 @@ def test_coverage_of_short_items_and_any_language(spark, tmp_path):
 
 def test_digits_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(0, "x" * 300 + "٣۴")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert catalogue.western_digits_whole(spark, str(tmp_path)).first().digest == hashlib.md5(b"x" * 300 + b"34").hexdigest()
+    assert catalogue.western_digits(spark, str(tmp_path)).first().digest == hashlib.md5(b"x" * 300 + b"34").hexdigest()
 
 
 def test_quotes_of_whole_turns(spark, tmp_path):
@@ -110,12 +110,12 @@ def test_quotes_of_whole_turns(spark, tmp_path):
     turns = [(1, 0, long_ + "but this is invented"), (1, 1, "some words ... the end of it"), (1, 2, "some words [...left out] the end of it"), (1, 3, "short"), (9, 4, "no document for it"), (1, 5, None), (1, 6, long_.strip())]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = {r.turn: r.kept for r in catalogue.verify_quotes_whole(spark, str(tmp_path)).collect()}
+    got = {r.turn: r.kept for r in catalogue.verify_quotes(spark, str(tmp_path)).collect()}
     assert got == {0: False, 1: True, 2: True, 3: False, 4: False, 5: False, 6: True}
     con = duckdb.connect()
     for t in ("documents", "conversations"):
         con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
-    assert {r[1]: r[2] for r in con.sql(catalogue.oracle_sql()["verify_quotes_whole"]).fetchall()} == got
+    assert {r[1]: r[2] for r in con.sql(catalogue.oracle_sql()["verify_quotes"]).fetchall()} == got
 
 
 @pytest.mark.parametrize("statuses, want", [([("pass", False), ("na", False)], "pass"), ([("pass", True)], None), ([("fail", False), ("pass", False)], "fail"), ([("na", False)], "na"), ([("needs_review", False), ("pass", False)], None)])
