@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,21 +111,33 @@ def title_words(title: Column, stop: list[str] = ()) -> Column:
     return F.array_except(words, F.array(*map(F.lit, stop))) if stop else words
 
 
+def any_of(labels: list[str]) -> str:
+    """A pattern of any of the labels, in lower case."""
+    return "(?:" + "|".join(re.escape(x.lower()) for x in labels) + ")"
+
+
+def unlabelled(text: Column) -> Column:
+    """A line as labels are looked for in it: folded, lower case, numbering and bullets stripped."""
+    return F.regexp_replace(F.lower(fold(text)), "^[ 0-9.()\\-–—•*#]+", "")
+
+
+def label_leads(bare: Column, labels: list[str], longest: int = 80) -> Column:
+    """Whether a label begins the line and ends it, is followed by a separator, or the line is short."""
+    leads = any_of(labels)
+    return F.coalesce(bare.rlike(rf"^{leads}\s*(?:$|[:：—–\-|·])") | (bare.rlike("^" + leads) & (F.length(bare) <= longest)), F.lit(False))
+
+
 def starts_with_label(text: Column, labels: list[str], longest: int = 80) -> Column:
-    """Whether a line, numbering and bullets stripped, begins with a label that ends it, is followed by a separator, or stands in a short line."""
-    bare = F.regexp_replace(F.lower(fold(text)), "^[ 0-9.()\\-–—•*#]+", "")
-    hit = F.lit(False)
-    for label in labels:
-        rest = F.ltrim(F.substring(bare, F.lit(len(label) + 1), F.length(bare)))
-        hit = hit | (bare.startswith(label.lower()) & ((rest == "") | rest.rlike("^[:：—–\\-|·]") | (F.length(bare) <= longest)))
-    return F.coalesce(hit, F.lit(False))
+    """``label_leads`` of a line as written."""
+    return label_leads(unlabelled(text), labels, longest)
 
 
 def contains_any(text: Column, labels: list[str]) -> Column:
-    hit = F.lit(False)
-    for label in labels:
-        hit = hit | text.contains(label)
-    return F.coalesce(hit, F.lit(False))
+    return F.coalesce(text.rlike(any_of(labels)), F.lit(False))
+
+
+def begins_with_any(text: Column, labels: list[str]) -> Column:
+    return F.coalesce(text.rlike("^" + any_of(labels)), F.lit(False))
 
 
 def number_after(text: Column, keyword: str) -> Column:

@@ -47,7 +47,7 @@ def starts(paras: DataFrame, profile: dict = PROFILE) -> DataFrame:
     w = Window.partitionBy("rel").orderBy("idx")
     whole = Window.partitionBy("rel")
     rows = rows.withColumn("first_q", F.min(F.when(F.col("typed").isNotNull(), F.col("idx"))).over(whole)).withColumn("first_label", F.min(F.when(F.col("labelled"), F.col("idx"))).over(whole))
-    ends = reduce(lambda a, b: a | b, [F.col("norm").startswith(x) for x in P.lower(profile["vocab"]["question_region_end_labels"])])
+    ends = T.begins_with_any(F.col("norm"), profile["vocab"]["question_region_end_labels"])
     closing = ~table & (F.length("west") <= 90) & ends & (F.col("idx") > F.col("first_q"))
     rows = rows.withColumn("end", F.min(F.when(closing, F.col("idx"))).over(whole)).withColumn("live", F.col("end").isNull() | (F.col("idx") < F.col("end")))
     kept = F.when(F.col("live") & (F.col("first_label").isNull() | F.col("labelled") | (F.col("idx") > F.col("first_label"))), F.col("typed"))

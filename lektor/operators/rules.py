@@ -58,7 +58,7 @@ def prepared(paras: DataFrame, compose: Callable[[str], Column] | None = None) -
 
 def _paras(t: Tables) -> DataFrame:
     rows = t["paras"] if "norm" in t["paras"].columns else prepared(t["paras"])
-    return rows.withColumn("west", T.western_digits(F.col("norm"))).withColumn("quoted", T.is_scripture(F.col("text")))
+    return rows.withColumn("west", T.western_digits(F.col("norm"))).withColumn("quoted", T.is_scripture(F.col("text"))).withColumn("bare", T.unlabelled(F.col("text")))
 
 
 def _lines(t: Tables) -> DataFrame:
@@ -236,9 +236,9 @@ def heading_like() -> Column:
     quoted scripture, labels of sub-lists and lines with a lesson's or chapter's own number are none."""
     line, norm, west = F.trim("text"), F.col("norm"), F.col("west")
     never = F.col("in_table") | F.col("in_toc") | (F.lower(F.coalesce("style", F.lit(""))) == "title") | west.rlike(P.question_pattern(PROFILE, True)) | west.rlike(P.own_number_pattern(PROFILE)) | F.col("quoted")
-    never = never | F.rtrim(F.regexp_replace(norm, "[:：]+$", "")).isin(P.lower(VOCAB["slo_sublabels"])) | reduce(lambda a, b: a | b, [norm.startswith(x) for x in P.lower(VOCAB["answer_line_labels"])])
+    never = never | F.rtrim(F.regexp_replace(norm, "[:：]+$", "")).isin(P.lower(VOCAB["slo_sublabels"])) | T.begins_with_any(norm, VOCAB["answer_line_labels"])
     never = never | line.rlike(r"\S\s*/\s*\S[^/]*\s/\s*\S") | T.bullet_text(F.col("text"))
-    bare = (F.length(line) <= 90) & F.col("list_kind").isNull() & (T.starts_with_label(F.col("text"), SECTION_LABELS) | (F.coalesce("all_bold", F.lit(False)) & ~line.rlike("[.!?؟۔:：]$")))
+    bare = (F.length(line) <= 90) & F.col("list_kind").isNull() & (T.label_leads(F.col("bare"), SECTION_LABELS) | (F.coalesce("all_bold", F.lit(False)) & ~line.rlike("[.!?؟۔:：]$")))
     return F.coalesce(~never & F.when(F.col("heading_level").isNotNull(), ~misstyled()).otherwise(bare), F.lit(False))
 
 
@@ -257,7 +257,7 @@ def numbers() -> Column:
 @rule("WE12", "paras")
 def heading_numbers(t: Tables, code: str = "WE12") -> DataFrame:
     """All headings numbered (but for appendices), three levels at most, no level skipped, children from one, siblings by one."""
-    appendix = reduce(lambda a, b: a | b, [F.col("norm").startswith(x.lower()) for x in VOCAB["appendix_headings"]])
+    appendix = T.begins_with_any(F.col("norm"), VOCAB["appendix_headings"])
     heads = headings(t).withColumn("p", numbers()).where(~(F.col("p").isNull() & appendix))
     every = headings(t).groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
     bare = heads.groupBy("rel").agg(F.count_if(F.col("p").isNull()).alias("bare"))
@@ -408,8 +408,8 @@ def slide_footers(t: Tables, code: str = "WE25") -> DataFrame:
 
 def sections(paras: DataFrame, labels: dict[str, list[str]] = SECTIONS) -> DataFrame:
     """(rel, section, start): the first paragraph, outside tables and contents, that begins with a label of each section."""
-    hits = F.array_compact(F.array(*[F.when(T.starts_with_label(F.col("text"), words), F.lit(name)) for name, words in labels.items()]))
-    return paras.where("not in_table and not in_toc").withColumn("section", F.explode(hits)).groupBy("rel", "section").agg(F.min("idx").alias("start"))
+    hits = F.array_compact(F.array(*[F.when(T.label_leads(F.col("bare"), words), F.lit(name)) for name, words in labels.items()]))
+    return paras.where("not in_table and not in_toc").withColumn("bare", T.unlabelled(F.col("text"))).withColumn("section", F.explode(hits)).groupBy("rel", "section").agg(F.min("idx").alias("start"))
 
 
 @rule("LP3", "paras")
@@ -447,8 +447,8 @@ def section_lines(t: Tables, section: str, labels: dict[str, list[str]] = SECTIO
 def outcome_blocks(t: Tables) -> DataFrame:
     """(rel, start, stop): every outcome section, to the next section or heading that is no label of a sub-list."""
     own = F.rtrim(F.regexp_replace("norm", "[:：]+$", ""))
-    end = ~F.col("in_table") & (T.starts_with_label(F.col("text"), SECTION_LABELS) | (F.col("head") & ~own.isin(P.lower(VOCAB["slo_sublabels"]))))
-    rows = roles(t).withColumn("open", ~F.col("in_table") & ~F.col("in_toc") & T.starts_with_label(F.col("text"), SECTIONS["slos"]))
+    end = ~F.col("in_table") & (T.label_leads(F.col("bare"), SECTION_LABELS) | (F.col("head") & ~own.isin(P.lower(VOCAB["slo_sublabels"]))))
+    rows = roles(t).withColumn("open", ~F.col("in_table") & ~F.col("in_toc") & T.label_leads(F.col("bare"), SECTIONS["slos"]))
     behind = Window.partitionBy("rel").orderBy("idx").rowsBetween(1, Window.unboundedFollowing)
     return rows.withColumn("stop", F.first(F.when(end, F.col("idx")), ignorenulls=True).over(behind)).where("open").select("rel", F.col("idx").alias("start"), "stop")
 
@@ -456,8 +456,9 @@ def outcome_blocks(t: Tables) -> DataFrame:
 def outcomes(t: Tables) -> DataFrame:
     """The statements of the outcome sections: lines without lead-ins and labels, up to the first instruction of a block."""
     head = F.left("norm", F.lit(40))
-    stop = reduce(lambda a, b: a | b, [head.startswith(x) | (head.contains(x) & F.left(F.trim("text"), F.lit(45)).contains(":")) for x in P.lower(VOCAB["slo_block_end_labels"])])
-    lead = reduce(lambda a, b: a | b, [head.startswith(x) for x in P.lower(VOCAB["slo_lead_ins"])])
+    ends = VOCAB["slo_block_end_labels"]
+    stop = T.begins_with_any(head, ends) | (T.contains_any(head, ends) & F.left(F.trim("text"), F.lit(45)).contains(":"))
+    lead = T.begins_with_any(head, VOCAB["slo_lead_ins"])
     label = F.trim("text").rlike("[:：]$") | F.rtrim(F.regexp_replace("norm", "[:：]+$", "")).isin(P.lower(VOCAB["slo_sublabels"]))
     rows = _lines(t).join(outcome_blocks(t), "rel").where((F.col("idx") > F.col("start")) & (F.col("stop").isNull() | (F.col("idx") < F.col("stop"))) & ~F.col("in_table"))
     rows = rows.where(~label).withColumn("lead", lead)
@@ -506,7 +507,7 @@ def coverage_table(t: Tables) -> DataFrame:
 
 @rule("LPG4", "paras")
 def glossary(t: Tables) -> DataFrame:
-    hit = (F.length("text") < 60) & reduce(lambda a, b: a | b, [F.col("norm").startswith(x) for x in P.lower(VOCAB["glossary_labels"])])
+    hit = (F.length("text") < 60) & T.begins_with_any(F.col("norm"), VOCAB["glossary_labels"])
     return _emit("LPG4", _paras(t).groupBy("rel").agg(F.bool_or(hit).alias("g")), F.when(F.col("g"), "pass").otherwise("needs_review"), "a glossary")
 
 
@@ -582,8 +583,8 @@ def concept_notes(t: Tables) -> DataFrame:
 def slide_order(t: Tables) -> DataFrame:
     """Slides follow the plan's sections; the outcomes may come early, but before the concepts."""
     labels = {k: v + VOCAB["fg_section_labels"].get(k, []) for k, v in SECTIONS.items()}
-    role = F.coalesce(*[F.when(T.starts_with_label(F.col("title"), words), k) for k, words in labels.items()])
-    first = _slides(t).withColumn("role", role).where("role is not null").groupBy("rel").pivot("role", list(SECTIONS)).agg(F.min("slide"))
+    role = F.coalesce(*[F.when(T.label_leads(F.col("bare"), words), k) for k, words in labels.items()])
+    first = _slides(t).withColumn("bare", T.unlabelled(F.col("title"))).withColumn("role", role).where("role is not null").groupBy("rel").pivot("role", list(SECTIONS)).agg(F.min("slide"))
     every = _every(t, first, "slides")
     rest = [F.col(k) for k in SECTIONS if k != "slos"]
     there = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in SECTIONS])
