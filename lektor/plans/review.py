@@ -273,3 +273,201 @@ _COUNT = lambda x: f"len(list_filter(regexp_split_to_array({x}, '\\s+'), lambda
 _register("SB3", f"WITH {_B}, m AS (SELECT rel, coalesce(sum({_COUNT('b3')}), 0) AS m FROM b JOIN good USING (rel) WHERE n >= 3 AND has3 GROUP BY rel) " + _out("SB3", "m", "CASE WHEN m > 300 THEN 'fail' ELSE 'pass' END", "300 words of narration at most"))
 _register("SB5", f"WITH {_B}, m AS (SELECT rel, count(*) FILTER ({_COUNT('b2')} > 12) AS m FROM b JOIN good USING (rel) WHERE n >= 3 AND has2 GROUP BY rel) " + _out("SB5", "m", "CASE WHEN m > 0 THEN 'fail' ELSE 'pass' END", "short labels on screen"))
 _register("SB4", f"WITH {BASE}, t AS (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY idx) AS r FROM p), g AS (SELECT rel, bool_or({holds('norm', V['storyboard_origin'])} OR regexp_matches(norm, '(^|[^a-z])new([^a-z]|$)')) AS h FROM t WHERE r <= 12 GROUP BY rel) " + _out("SB4", "g", "CASE WHEN h THEN 'pass' ELSE 'fail' END", "new, or edited from a source"))
+
+
+# questions
+
+
+QUESTIONS = f"""{BASE}, q0 AS (SELECT *, regexp_matches(norm, '{_marks(assessments.OPTION)}') AS option, coalesce(nullif(regexp_extract(west, '{pattern(P.question_pattern(P.PROFILE, True))}', 1), ''), CASE WHEN in_table THEN nullif(regexp_extract(west, '{pattern(P.cell_question_pattern(P.PROFILE))}', 1), '') END) AS lab,
+ CASE WHEN NOT in_table THEN coalesce(nullif(regexp_extract(west, '{pattern(P.question_pattern(P.PROFILE))}', 1), ''), nullif(regexp_extract(west, '{assessments.BRACKETED}', 1), ''), nullif(regexp_extract(west, '{pattern(assessments.SHORT)}', 1), '')) END AS plain FROM p),
+ q1 AS (SELECT *, (NOT in_table AND regexp_matches(west, '{P.lesson_pattern(P.PROFILE)}') AND NOT option) OR (NOT in_table AND coalesce(heading_level = 1, false)) AS stop0 FROM q0),
+ q2 AS (SELECT *, CASE WHEN NOT stop0 AND NOT option THEN try_cast(coalesce(lab, plain) AS INT) END AS typed FROM q1), q3 AS (SELECT *, typed IS NOT NULL AND lab IS NOT NULL AS labelled FROM q2),
+ q4 AS (SELECT *, min(idx) FILTER (typed IS NOT NULL) OVER w AS first_q, min(idx) FILTER (labelled) OVER w AS first_label FROM q3 WINDOW w AS (PARTITION BY rel)),
+ q5 AS (SELECT *, min(idx) FILTER (NOT in_table AND length(west) <= 90 AND {begins('norm', V['question_region_end_labels'])} AND idx > first_q) OVER (PARTITION BY rel) AS stop_at FROM q4),
+ q6 AS (SELECT *, CASE WHEN first_label IS NULL OR labelled OR idx > first_label THEN typed END AS kept FROM q5 WHERE stop_at IS NULL OR idx < stop_at), q7 AS (SELECT *, max((kept IS NOT NULL)::INT) OVER (PARTITION BY rel) AS numbered FROM q6),
+ q8 AS (SELECT *, CASE WHEN numbered = 1 THEN kept WHEN NOT in_table AND list_kind = 'decimal' THEN try_cast(nullif(regexp_extract(num_label, '^\\s*([0-9]+)', 1), '') AS INT) END AS num FROM q7), q9 AS (SELECT *, sum((num IS NOT NULL OR stop0)::INT) OVER (PARTITION BY rel ORDER BY idx ROWS UNBOUNDED PRECEDING) AS island FROM q8),
+ qa AS (SELECT *, min(idx) OVER (PARTITION BY rel, island) AS start FROM q9 WHERE island > 0), qb AS (SELECT rel, start, max(num) FILTER (idx = start) AS num, string_agg(text, chr(10) ORDER BY idx) AS block, trim(arg_min(text, idx)) AS head,
+ count(*) FILTER (idx > start AND NOT in_table AND regexp_matches(trim(text), '{_marks(assessments.OPTION)}')) AS listed, coalesce(bool_or(idx > start AND NOT in_table AND regexp_matches(trim(text), '{_marks(assessments.OPTION)}') AND (highlight IS NOT NULL OR shading = 'FFFF66')), false) AS lit, bool_or(highlight IS NOT NULL OR coalesce(shading = 'FFFF66', false)) AS any_lit FROM qa GROUP BY rel, start),
+ qc AS (SELECT *, CASE WHEN listed > 0 THEN 0 ELSE len(regexp_extract_all(block, '{_marks(assessments.INLINE_OPTION)}')) END AS inline, lower({fold('block')}) AS low FROM qb WHERE num IS NOT NULL),
+ qs AS (SELECT *, CASE WHEN listed > 0 THEN listed ELSE inline END AS options, CASE WHEN listed >= 3 OR inline >= 3 THEN 'mcq' WHEN regexp_matches(low, 'درست\\s*(?:یا|/)\\s*غلط|true\\s*/?\\s*(?:or)?\\s*false') THEN 'true_false' WHEN contains(block, '____') OR contains(low, 'خالی جگہ') OR contains(low, 'fill in') THEN 'fill_blank'
+ WHEN contains(low, 'جوڑ') OR contains(low, 'match') THEN 'matching' ELSE 'open' END AS kind, lit OR (inline >= 3 AND any_lit) AS highlighted FROM qc),
+ lv AS (SELECT *, CASE WHEN {holds(f"lower({fold('head')})", V['higher_order_words'])} THEN CASE WHEN {holds(f"lower({fold('head')})", V['lower_order_words'])} THEN NULL ELSE 1.0 END WHEN {holds(f"lower({fold('head')})", V['lower_order_words'])} THEN 0.0 END AS higher FROM qs),
+ reg AS (SELECT rel, count(*) AS n, bool_and(k = num) AS regular, count(higher) AS known, avg(higher) AS share FROM (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY start) AS k FROM lv) GROUP BY rel)"""
+
+
+@query(f"WITH {QUESTIONS} SELECT rel, num, start::INT AS start, head AS text, md5(block) AS block, options::INT AS options, kind, highlighted, regexp_matches(block, '{assessments.CHECKS}') AS checked FROM qs")
+def questions_parsed(spark, d):
+    return assessments.questions(paras(spark, d)).withColumn("block", F.md5("block"))
+
+
+def _of(kind: str) -> str:
+    return f"(SELECT e.rel FROM every e JOIN o ON e.rel = o.rel AND doc_type = '{kind}') e LEFT JOIN reg USING (rel)"
+
+
+def _counted(code: str, kind: str, lo: int, hi: int, higher: float) -> str:
+    verdict = f"CASE WHEN coalesce(n, 0) = 0 OR NOT regular THEN 'needs_review' WHEN NOT n BETWEEN {lo} AND {hi} OR coalesce(known >= greatest(2.0, n / 2) AND abs(share - {higher}) > 0.2, false) THEN 'fail' ELSE 'pass' END"
+    return f"WITH {QUESTIONS} " + _out(code, _of(kind), verdict, f"{lo} to {hi} questions", f"{verdict} = 'pass'")
+
+
+_register("CE1", _counted("CE1", "chapter_exam", 6, 8, 0.3), assessments.exam_count)
+_register("WS1", _counted("WS1", "worksheet", 8, 10, 0.6), assessments.worksheet_count)
+_TAG = lambda x: "(" + " OR ".join(f"regexp_matches({x}, '{p}')" for p in V["slo_tag_patterns"]) + ")"
+for _code, _kind in (("CE4", "chapter_exam"), ("WS3", "worksheet")):
+    _register(_code, f"WITH {QUESTIONS}, tg AS (SELECT rel, bool_or({_TAG('text')}) AS has_tag FROM p GROUP BY rel), br AS (SELECT rel, count(*) FILTER (NOT {_TAG('block')}) AS bare FROM qs GROUP BY rel) " + _out(_code, _of(_kind) + " LEFT JOIN tg USING (rel) LEFT JOIN br USING (rel)", "CASE WHEN NOT coalesce(has_tag, false) THEN 'fail' WHEN NOT coalesce(regular, false) THEN 'needs_review' WHEN bare > 0 THEN 'fail' ELSE 'pass' END", "every question tagged"), lambda t, c=_code, k=_kind: assessments.tagged(t, c, k))
+_KEY = f"NOT in_table AND length(trim(text)) BETWEEN 1 AND 40 AND {holds('norm', V['answer_key_labels'])}"
+_register("CE5", f"WITH {QUESTIONS}, ky AS (SELECT rel, bool_or({_KEY}) AS key FROM p GROUP BY rel), un AS (SELECT rel, bool_or({holds('low', [x for x in V['answer_key_labels'] + V['answer_line_labels'] if len(x) > 3])}) AS under FROM qs GROUP BY rel) " + _out("CE5", _of("chapter_exam") + " LEFT JOIN ky USING (rel) LEFT JOIN un USING (rel)", "CASE WHEN coalesce(key, false) OR coalesce(under, false) THEN 'pass' ELSE 'na' END", "an answer key", "coalesce(key, false) OR coalesce(under, false)"), assessments.answer_key)
+_register("WS6", f"WITH {QUESTIONS}, ky AS (SELECT rel, max(idx) AS key FROM p WHERE {_KEY} GROUP BY rel), ls AS (SELECT rel, max(start) AS last FROM qs GROUP BY rel) " + _out("WS6", _of("worksheet") + " LEFT JOIN ky USING (rel) LEFT JOIN ls USING (rel)", "CASE WHEN coalesce(key >= coalesce(last, 0), false) THEN 'pass' ELSE 'fail' END", "the answer key at the end", "coalesce(key >= coalesce(last, 0), false)"), assessments.key_at_end)
+_register("WS2", f"WITH {QUESTIONS}, mx AS (SELECT rel, string_agg(kind || ': ' || c, ', ' ORDER BY c DESC, kind) AS m FROM (SELECT rel, kind, count(*) AS c FROM qs GROUP BY rel, kind) GROUP BY rel) SELECT 'WS2' AS code, rel AS doc, 'needs_review' AS status, 'formats: ' || coalesce(m, '') AS message, false AS partial FROM {_of('worksheet')} LEFT JOIN mx USING (rel)", assessments.formats)
+
+
+def _quiz(t: rules.Tables) -> DataFrame:
+    lessons = t["paras"].select("rel").distinct().join(t["docs"].where("doc_type = 'pop_quiz'").select("rel"), "rel").select(F.col("rel").alias("doc"))
+    return assessments.quiz(lessons, assessments.questions(t["paras"]).withColumnRenamed("rel", "doc"))
+
+
+_EACH = lambda x: f"CASE WHEN n IS NULL THEN 'na' WHEN {x} THEN 'pass' ELSE 'fail' END"
+_QUIZ = f"WITH {QUESTIONS}, pq AS (SELECT rel, count(*) AS n, bool_and(kind = 'mcq') AS mcq, bool_and({holds('low', V['lesson_plan_location_labels'])}) AS place, bool_and({holds('low', V['feedback_labels'])}) AS feedback, bool_and(highlighted) AS yellow FROM qs GROUP BY rel), z AS (SELECT e.rel, pq.* EXCLUDE (rel) FROM every e JOIN o ON e.rel = o.rel AND doc_type = 'pop_quiz' LEFT JOIN pq ON pq.rel = e.rel) "
+_register("PQ", _QUIZ + " UNION ALL ".join([_out("PQ1", "z", "CASE WHEN n BETWEEN 2 AND 3 AND mcq THEN 'pass' ELSE 'fail' END", "2 to 3 multiple-choice questions"), _out("PQ2", "z", _EACH("place"), "the place in the plan", "n IS NOT NULL AND place"), _out("PQ3", "z", _EACH("feedback"), "feedback", "n IS NOT NULL AND feedback"), _out("PQ4", "z", _EACH("yellow"), "the answer in yellow")]), _quiz)
+
+
+# banks
+
+
+BANK_HEAD = ["Chapter / Lesson", "Question", "Options", "SLO", "Subject", "Question type", "Level", "Correct feedback", "Incorrect feedback"]
+BANK = ["concat('Chapter ', conv_id + 1, ' / ', turn div 2 + 1)", "text", "concat('A) a B) b ', turn)", "'SLO 1'", "'Maths'", "CASE WHEN conv_id % 4 = 0 AND turn = 1 THEN 'Open' ELSE 'MCQ' END", "CASE WHEN conv_id % 5 = 0 THEN 'Analyse' ELSE 'Remember' END", "'Well done'", "CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'Try again' END"]
+
+
+def bank_cells(spark, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations")
+    head = rows.select("conv_id").distinct().select("conv_id", F.array(*map(F.lit, BANK_HEAD)).alias("texts"), F.lit(0).alias("row"), F.lit(False).alias("highlighted"))
+    body = rows.selectExpr("conv_id", f"array({', '.join(BANK)}) AS texts", "cast(turn + 1 AS int) AS row", "conv_id % 2 = 0 AS highlighted")
+    return head.unionByName(body).select(F.concat(F.lit("c"), F.col("conv_id")).alias("rel"), F.lit(0).alias("table_idx"), "row", "highlighted", F.posexplode("texts").alias("col", "text"))
+
+
+_ITEMS = "it AS (SELECT 'c' || conv_id AS rel, conv_id, turn + 1 AS place, trim(text) AS question, (conv_id + 1)::INT AS chapter, (turn // 2 + 1)::INT AS lesson, conv_id % 2 = 0 AS highlighted, turn FROM conversations WHERE trim(text) <> '')"
+
+
+@query(f"WITH {_ITEMS} SELECT rel, place::INT AS place, question, chapter, lesson, highlighted FROM it")
+def bank_items(spark, d):
+    return assessments.bank_items(bank_cells(spark, d)).select("rel", F.col("place").cast("int").alias("place"), F.col("fields")["question"].alias("question"), "chapter", "lesson", "highlighted")
+
+
+@query(f"WITH {_ITEMS} " + _out("DBS1", "(SELECT DISTINCT rel FROM it)", "'pass'", "items in order of chapter and lesson", "true"))
+def rule_dbs1(spark, d):
+    return assessments.bank_order(assessments.bank_items(bank_cells(spark, d)))
+
+
+_DB = f"""WITH {_ITEMS}, g AS (SELECT chapter, lesson, conv_id, count(*) AS n, bool_and(NOT (conv_id % 4 = 0 AND turn = 1)) AS mcq, highlighted FROM it GROUP BY ALL), gr AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY lesson) AS place, count(*) OVER (PARTITION BY chapter) AS have FROM g),
+ hv AS (SELECT DISTINCT chapter, have FROM gr), le AS (SELECT conv_id, (conv_id + 1)::INT AS chapter, unnest(range(1, conv_id % 3 + 2)) AS place, conv_id % 3 + 1 AS want FROM (SELECT DISTINCT conv_id FROM conversations)),
+ z AS (SELECT 'l' || le.conv_id || '-' || le.place AS rel, le.conv_id AS c, want, hv.have, gr.n, gr.mcq, gr.highlighted FROM le LEFT JOIN hv USING (chapter) LEFT JOIN gr USING (chapter, place)) """
+_ODD = "have IS NOT NULL AND have <> want"
+_N = "CASE WHEN have = want THEN n END"
+_BANKED = lambda good: f"CASE WHEN {_ODD} THEN 'needs_review' WHEN {_N} IS NULL THEN 'na' WHEN {good} THEN 'pass' ELSE 'fail' END"
+
+
+@query(_DB + " UNION ALL ".join([_out("DB1", "z", f"CASE WHEN {_ODD} THEN 'needs_review' WHEN coalesce({_N}, 0) BETWEEN 4 AND 6 AND mcq AND c % 5 <> 0 THEN 'pass' ELSE 'fail' END", "4 to 6 lower-order multiple-choice items"), _out("DB2", "z", _BANKED("true"), "subject, chapter, lesson and outcome tags"), _out("DB3", "z", _BANKED("c % 3 <> 0"), "feedback", f"NOT ({_ODD}) AND {_N} IS NOT NULL AND c % 3 <> 0"), _out("DB4", "z", _BANKED("highlighted"), "the answer in yellow")]))
+def rule_db(spark, d):
+    lessons = table(spark, d, "conversations").select("conv_id").distinct().selectExpr("conv_id", "cast(conv_id + 1 AS int) AS chapter", "explode(sequence(1, cast(conv_id % 3 + 1 AS int))) AS place")
+    lessons = lessons.selectExpr("concat('l', conv_id, '-', place) AS doc", "chapter", "place")
+    return assessments.bank(lessons, assessments.bank_groups(assessments.bank_items(bank_cells(spark, d))))
+
+
+# coverage of outcomes
+
+
+OUTCOMES = "oc AS (SELECT (n_regionkey + 1)::INT AS chapter, (n_nationkey % 3 + 1)::INT AS lesson, row_number() OVER (PARTITION BY n_regionkey, n_nationkey % 3 ORDER BY n_nationkey)::INT AS index, n_name || ' is a place on the map.' AS text FROM nation)"
+BLOCK = "CASE turn % 4 WHEN 0 THEN concat('SLO ', conv_id % 3 + 1, ' ', text) WHEN 1 THEN concat('L', turn % 3 + 1, ' SLO 1: ', text) WHEN 2 THEN CASE WHEN conv_id % 3 = 0 THEN 'Say why france is a place on the map' ELSE 'Is PERU is a place on the map true?' END ELSE text END"
+_ASKED = f"ak AS (SELECT 'c' || conv_id AS doc, turn AS q, (conv_id % 5 + 1)::INT AS chapter, CASE WHEN conv_id % 2 = 0 THEN (conv_id % 3 + 1)::INT END AS lesson, lower({BLOCK}) AS low FROM conversations)"
+_TIES = f"""{OUTCOMES}, {_ASKED}, ti AS (SELECT doc, q, lesson, index FROM (SELECT doc, q, chapter, lesson, unnest(list_transform(regexp_extract_all(low, '(?:\\bslo\\b|حاصلات?\\s*تعلیم)[\\s\\-:#]*([0-9]{{1,2}})', 1), lambda x: x::INT)) AS index FROM ak WHERE lesson IS NOT NULL) SEMI JOIN oc USING (chapter, lesson, index)
+ UNION SELECT doc, q, regexp_extract(m, '([0-9]+)', 1)::INT, regexp_extract(m, '[0-9]+[^0-9]+([0-9]+)', 1)::INT FROM (SELECT doc, q, unnest(regexp_extract_all(low, '\\bl(?:esson)?\\s*[0-9]{{1,2}}[\\s,\\-:]*slo[\\s\\-:#]*[0-9]{{1,2}}')) AS m FROM ak WHERE lesson IS NULL)
+ UNION SELECT doc, q, oc.lesson, index FROM ak JOIN oc ON ak.chapter = oc.chapter AND (ak.lesson IS NULL OR ak.lesson = oc.lesson) AND contains(low, rtrim(lower(oc.text), '.')))"""
+
+
+def outcomes(spark, d: str) -> DataFrame:
+    rows = table(spark, d, "nation").selectExpr("cast(n_regionkey + 1 AS int) AS chapter", "cast(n_nationkey % 3 + 1 AS int) AS lesson", "cast(row_number() OVER (PARTITION BY n_regionkey, n_nationkey % 3 ORDER BY n_nationkey) AS int) AS index", "concat(n_name, ' is a place on the map.') AS text")
+    return rows
+
+
+def asked(spark, d: str) -> DataFrame:
+    return table(spark, d, "conversations").selectExpr("concat('c', conv_id) AS doc", "turn AS q", "cast(conv_id % 5 + 1 AS int) AS chapter", "CASE WHEN conv_id % 2 = 0 THEN cast(conv_id % 3 + 1 AS int) END AS lesson", f"{BLOCK} AS block")
+
+
+@query(f"WITH {_TIES} SELECT doc, q, lesson, index FROM ti")
+def outcome_tags(spark, d):
+    return assessments.tags(asked(spark, d), outcomes(spark, d))
+
+
+_COVER = f"{_TIES}, ht AS (SELECT ak.chapter, ti.lesson, ti.index, CASE WHEN ak.lesson IS NULL THEN 'worksheet' ELSE 'exam' END AS kind FROM ti JOIN ak USING (doc, q)), cv AS (SELECT oc.*, count(*) FILTER (kind = 'exam') AS exam, count(*) FILTER (kind = 'worksheet') AS worksheet, count(kind) AS total FROM oc LEFT JOIN ht USING (chapter, lesson, index) GROUP BY ALL)"
+
+
+def _covered(spark, d: str) -> DataFrame:
+    ties = assessments.tags(asked(spark, d), outcomes(spark, d))
+    hits = ties.join(asked(spark, d).select("doc", "q", "chapter", F.when(F.col("lesson").isNull(), "worksheet").otherwise("exam").alias("kind")), ["doc", "q"]).select("chapter", "lesson", "index", "kind")
+    return assessments.coverage(outcomes(spark, d), hits, ["exam", "worksheet"])
+
+
+@query(f"WITH {_COVER} SELECT chapter, lesson, index, text, exam, worksheet, total FROM cv")
+def outcome_coverage(spark, d):
+    return _covered(spark, d).select("chapter", "lesson", "index", "text", "exam", "worksheet", "total")
+
+
+@query(f"WITH {_COVER}, z AS (SELECT 'subject' AS rel, count(*) AS n, count(*) FILTER (total = 0) AS gaps FROM cv) " + _out("ST1", "z", "CASE WHEN n > 0 THEN 'pass' ELSE 'needs_review' END", "a coverage map") + " UNION ALL " + _out("ST2", "z", "CASE WHEN n = 0 THEN 'needs_review' WHEN gaps > 0 THEN 'fail' ELSE 'pass' END", "every outcome is asked about"))
+def rule_st(spark, d):
+    return assessments.coverage_findings(_covered(spark, d))
+
+
+_MEASURED = "qn AS (SELECT doc, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM ti WHERE ti.doc = ak.doc AND ti.q = ak.q)) AS tagged FROM ak GROUP BY doc)"
+
+
+@query(f"WITH {_TIES}, {_MEASURED}, le AS (SELECT DISTINCT doc, chapter, lesson FROM ak WHERE lesson IS NOT NULL), w AS (SELECT le.doc, count(*) AS slos, count(*) FILTER (NOT EXISTS (SELECT 1 FROM ti WHERE ti.doc = le.doc AND ti.index = oc.index)) AS missing FROM le JOIN oc USING (chapter, lesson) GROUP BY le.doc) " + _out("PQ5", "le LEFT JOIN qn USING (doc) LEFT JOIN w USING (doc)", "CASE WHEN slos IS NULL THEN 'needs_review' WHEN n IS NULL THEN 'na' WHEN tagged = 0 THEN 'needs_review' WHEN missing > 0 THEN CASE WHEN tagged = n THEN 'fail' ELSE 'needs_review' END ELSE 'pass' END", "a question on every outcome", doc="doc"))
+def rule_pq5(spark, d):
+    rows = asked(spark, d).where("lesson is not null")
+    return assessments.lesson_coverage(rows.select("doc", "chapter", "lesson").distinct(), outcomes(spark, d), rows, assessments.tags(rows, outcomes(spark, d)))
+
+
+_GAP = lambda g: f"CASE WHEN coalesce(tagged, 0) = 0 THEN 'needs_review' WHEN {g} > 0 THEN CASE WHEN tagged = n THEN 'fail' ELSE 'needs_review' END ELSE 'pass' END"
+
+
+@query(f"WITH {_TIES}, {_MEASURED}, ch AS (SELECT DISTINCT doc, chapter FROM ak WHERE lesson IS NULL), w AS (SELECT ch.doc, count(DISTINCT oc.lesson) FILTER (NOT EXISTS (SELECT 1 FROM ti WHERE ti.doc = ch.doc AND ti.lesson = oc.lesson)) AS skipped, count(*) FILTER (NOT EXISTS (SELECT 1 FROM ti WHERE ti.doc = ch.doc AND ti.lesson = oc.lesson AND ti.index = oc.index)) AS missing FROM ch JOIN oc USING (chapter) GROUP BY ch.doc) " + _out("WS4", "ch LEFT JOIN qn USING (doc) LEFT JOIN w USING (doc)", _GAP("skipped"), "a question on every lesson", f"{_GAP('skipped')} = 'pass'", "doc") + " UNION ALL " + _out("WS5", "ch LEFT JOIN qn USING (doc) LEFT JOIN w USING (doc)", _GAP("missing"), "a question on every outcome", doc="doc"))
+def rule_ws45(spark, d):
+    rows = asked(spark, d).where("lesson is null")
+    return assessments.chapter_coverage(rows.select("doc", "chapter").distinct(), outcomes(spark, d), rows, assessments.tags(rows, outcomes(spark, d)))
+
+
+# derived rules, scalars, wording
+
+
+_PARTS = ["WE4", "WE6", "WE7", "WE8", "WE23"]
+
+
+def _whole(sql: str, n: int) -> str:
+    """A rule's SQL as a subquery; every rule's table names stay its own."""
+    return f"(SELECT * FROM ({sql}) t{n})"
+
+
+def _derived_sql() -> str:
+    from lektor.plans.catalogue import _ORACLES
+
+    union = " UNION ALL ".join(_whole(_ORACLES[f"rule_{c.lower()}"], i) for i, c in enumerate(_PARTS))
+    fold_ = "CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_and(status IN ('pass', 'na') AND NOT partial) THEN 'pass' ELSE 'needs_review' END"
+    return f"WITH f AS (SELECT * FROM ({union})) " + " UNION ALL ".join(f"SELECT '{code}' AS code, doc, {fold_} AS status FROM f WHERE code IN ({', '.join(repr(c) for c in parts)}) GROUP BY doc" for code, parts in rules.DERIVED.items())
+
+
+@query(_derived_sql())
+def rule_lp10_fg8(spark, d):
+    return rules.derived(rules.run({k: v for k, v in tables(spark, d).items() if k in ("paras", "docs", "pages")}, _PARTS))
+
+
+@query(f"WITH {BASE} SELECT rel, idx::INT AS idx, lower(regexp_replace({fold('text')}, '[\\s.۔\\-–—؛:,;]+$', '')) AS statement, regexp_matches(text, '^\\s*(?:[•▪●◦]|[\\-–—*]\\s)') AS bullet, regexp_matches({western('text')}, '^\\s*\\(?[0-9]+[.)]\\s') AS numbered, quoted AS scripture, {_EAST}::INT AS eastern, {_OUT}::INT AS outside, try_cast(nullif(regexp_extract(west, '(?:chapter|باب)\\s*([0-9]+)', 1), '') AS INT) AS chapter, regexp_replace(trim(regexp_replace(lower({western(fold('text'))}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), '^(?:[0-9]+ )+', '') AS bare, array_to_string({_NUMS.split(' WHEN regexp_matches')[0]} WHEN regexp_matches{_NUMS.split(' WHEN regexp_matches', 1)[1]}, '.') AS number FROM p")
+def line_scalars(spark, d):
+    text = F.col("text")
+    rows = rules._paras({"paras": paras(spark, d)})
+    return rows.select("rel", "idx", T.statement(text).alias("statement"), T.bullet_text(text).alias("bullet"), T.numbered_text(text).alias("numbered"), F.col("quoted").alias("scripture"), T.eastern_digits(text).alias("eastern"), T.eastern_digits(T.outside_verse_marks(text)).alias("outside"), T.chapter_number(text, V["chapter_ordinals"]).alias("chapter"), T.unnumbered(T.loose_digits(text)).alias("bare"), F.array_join(rules.numbers(), ".").alias("number"))
+
+
+@query(f"WITH n AS (SELECT doc_id, {NAME} AS rel FROM documents), s AS (SELECT *, regexp_replace(rel, '\\.[^.]+$', '') AS stem FROM n) SELECT doc_id, stem, trim(translate(regexp_replace('lesson-' || doc_id || '_' || stem, '(?i)^lesson[-_ ]*[0-9]+[-_ ]*', ''), '-_', '  ')) AS title, CASE WHEN doc_id % 4 = 0 THEN 'Ch' || doc_id % 9 ELSE 'Ch' || doc_id % 9 || '-L' || doc_id % 4 || 'A' END AS short, 'Ch' || doc_id % 9 || ' L' || doc_id % 4 || ' SLO ' || doc_id % 5 AS outcome, CASE WHEN doc_id % 30 BETWEEN 1 AND 26 THEN chr((doc_id % 30 + 64)::INT) ELSE '' END AS letter, CASE doc_id % 9 WHEN 0 THEN '1.0' WHEN 2 THEN '2' WHEN 3 THEN '1' WHEN 5 THEN '3' WHEN 1 THEN NULL WHEN 4 THEN NULL ELSE '0.' || doc_id % 10 END AS version FROM s")
+def name_scalars(spark, d):
+    rows = table(spark, d, "documents").selectExpr("doc_id", f"{NAME} AS rel", "doc_id % 9 AS c", "CASE WHEN doc_id % 4 > 0 THEN doc_id % 4 END AS l")
+    stem = T.file_stem(F.col("rel"))
+    title = T.clean_title(F.concat(F.lit("lesson-"), F.col("doc_id").cast("string"), F.lit("_"), stem))
+    return rows.select("doc_id", stem.alias("stem"), title.alias("title"), T.short_key(F.col("c"), F.col("l"), F.lit("A")).alias("short"), T.outcome_label(F.col("c"), F.coalesce("l", F.lit(0)), F.col("doc_id") % 5).alias("outcome"), T.part_letter((F.col("doc_id") % 30).cast("int")).alias("letter"), T.last_version(stem).alias("version"))
