@@ -56,6 +56,8 @@ PROFILE: dict = {
         "storyboard_origin": ["new video", "new.", "edited from", "نیا", "ترمیم شدہ", "ماخوذ", "path a", "path b"],
         "duration_labels": ["duration", "دورانیہ", "total", "کل"],
         "title_stop_words": ["lesson", "سبق", "باب", "chapter", "part", "کی", "کا", "کے", "اور", "و", "میں", "سے", "کو", "پر", "ہے", "the", "of", "and", "a", "in", "to"],
+        "honorifics": ["حضرت", "سیدنا", "امام", "Hazrat", "Prophet", "Imam"],
+        "honorifics_after": ["رضی", "علیہ", "صلی", "ﷺ"],
         "extra_question_patterns": [],
     },
     "house_rules": {

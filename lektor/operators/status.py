@@ -75,3 +75,45 @@ def latest(rows: DataFrame, key: str, version: Column, path: str) -> DataFrame:
     """Rows with a flag for all but the newest version; ties keep the later path."""
     w = Window.partitionBy(key).orderBy(version.desc(), F.col(path).desc())
     return rows.withColumn("superseded", F.row_number().over(w) > 1)
+
+
+def cell_notes(findings: DataFrame, *keys: str) -> DataFrame:
+    """(keys, note): what isn't simply passed in a cell, code by code: fails, partial passes, and what a reviewer decides."""
+    said = F.when(F.col("status") == "fail", F.concat("code", F.lit(": "), "message")).when((F.col("status") == "pass") & F.col("partial"), F.concat("code", F.lit(" (auto, partial): "), "message")).when(F.col("status") == "needs_review", F.concat("code", F.lit(" (reviewer): "), "message"))
+    return findings.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(said)), " | ").alias("note"))
+
+
+def inventory(docs: DataFrame) -> DataFrame:
+    """(doc_type, n): documents by kind, null for what wasn't recognised."""
+    return docs.groupBy("doc_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def missing(docs: DataFrame, wanted: list[str]) -> DataFrame:
+    """(chapter, lesson, variant, doc_type): kinds of lesson documents that a lesson of the package lacks."""
+    lessons = docs.where("scope = 'lesson' and chapter is not null").select("chapter", "lesson", "variant").distinct()
+    every = lessons.withColumn("doc_type", F.explode(F.array(*map(F.lit, wanted))))
+    have = docs.where("not superseded").select("chapter", "lesson", "variant", "doc_type").distinct()
+    same = [F.col(f"w.{c}").eqNullSafe(F.col(f"h.{c}")) for c in ("chapter", "lesson", "variant", "doc_type")]
+    return every.alias("w").join(have.alias("h"), same, "left_anti")
+
+
+# Results about other documents of a package.
+ABOUT_PACKAGE = ("PQ1", "PQ2", "PQ3", "PQ4", "PQ5", "DB1", "DB2", "DB3", "DB4", "DB5", "DBS1", "ST1", "ST2", "CE1", "CE4", "CE5", "WS1", "WS2", "WS3", "WS4", "WS5", "WS6", "LP3")
+
+
+def uploaded(findings: DataFrame, docs: DataFrame) -> DataFrame:
+    """Findings without those on what else a package lacks, where single files without folders were given."""
+    single = docs.agg(F.bool_and(~F.col("rel").contains("/")).alias("_single"))  # one row
+    absent = F.col("doc").isNull() & F.col("code").isin(*ABOUT_PACKAGE) & F.col("status").isin("fail", "needs_review")
+    return findings.crossJoin(F.broadcast(single)).where(~(F.coalesce("_single", F.lit(False)) & absent)).drop("_single")
+
+
+def overview(findings: DataFrame, registry: DataFrame) -> DataFrame:
+    """(code, text, automated, verdict, n): every rule of a registry (code, text, automated) with its findings' verdict; rules no finding answers keep their row."""
+    own = findings.groupBy("code").agg(fold(F.col("status"), F.col("partial")).alias("verdict"), F.count(F.lit(1)).alias("n"))
+    return registry.join(own, "code", "left").select("code", "text", F.coalesce("automated", F.lit("no")).alias("automated"), "verdict", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def lesson_order() -> list[Column]:
+    """The order of lessons: by chapter, whole chapters first, then lesson and part."""
+    return [F.coalesce("chapter", F.lit(0)).asc(), F.coalesce("lesson", F.lit(-1)).asc(), F.coalesce("variant", F.lit("")).asc()]

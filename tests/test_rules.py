@@ -120,3 +120,69 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("tumbled").agg(F.sum("n")).first()[0] == source.count()
+
+
+def test_workbook_and_outputs(spark, tmp_path):
+    import zipfile as zip_
+
+    grid = spark.createDataFrame([("Lesson 1", "fail", "pass"), ("Lesson <2>", None, "fail")], "label string, A string, B string")
+    book = sinks.workbook({"Grid": grid}, ("Grid",))
+    assert list(ooxml.xlsx_cells(book)) == [("Grid", 1, 1, "label"), ("Grid", 1, 2, "A"), ("Grid", 1, 3, "B"), ("Grid", 2, 1, "Lesson 1"), ("Grid", 2, 2, "fail"), ("Grid", 2, 3, "pass"), ("Grid", 3, 1, "Lesson <2>"), ("Grid", 3, 3, "fail")]
+    import io as io_
+
+    assert 'COUNTIF(B2:C2,"fail")' in zip_.ZipFile(io_.BytesIO(book)).read("xl/worksheets/sheet1.xml").decode()
+    findings = spark.createDataFrame([("A", "d", "fail", "question has no SLO tag", False), ("B", "e", "fail", "question has no SLO tag", False), ("C", "e", "pass", "ok", True), ("D", None, "needs_review", "x", False)], "code string, doc string, status string, message string, partial boolean")
+    assert [(r.codes, r.places, r.line) for r in sinks.grouped_notes(findings).where("status = 'fail'").collect()] == [(["A", "B"], ["d", "e"], "To fix: Tag this question with the SLO it tests. [A, B]")]
+    sinks.outputs({"notes": sinks.notes(findings.where("doc is not null"))}, findings, grid, str(tmp_path), {"name": "run"})
+    assert spark.read.parquet(str(tmp_path / "files")).count() == 2 and spark.read.json(str(tmp_path / "meta")).first().value == "run"
+    from lektor.operators import status
+
+    assert {r.doc: r.note for r in status.cell_notes(findings, "doc").collect()} == {"d": "A: question has no SLO tag", "e": "B: question has no SLO tag | C (auto, partial): ok", None: "D (reviewer): x"}
+    docs = spark.createDataFrame([("a.docx", "lesson", 1, 1, "", "lesson_plan", False)], "rel string, scope string, chapter int, lesson int, variant string, doc_type string, superseded boolean")
+    assert [r.doc_type for r in status.missing(docs, ["lesson_plan", "chapter_exam"]).collect()] == ["chapter_exam"]
+    assert status.uploaded(findings.withColumn("code", F.when(F.col("code") == "D", "PQ1").otherwise(F.col("code"))), docs).count() == 3
+    registry = spark.createDataFrame([("A", "a", "yes"), ("Z", "z", None)], "code string, text string, automated string")
+    assert {r.code: (r.automated, r.verdict, r.n) for r in status.overview(findings, registry).collect()} == {"A": ("yes", "fail", 1), "Z": ("no", None, 0)}
+
+
+def test_wording(spark):
+    from lektor.operators import wording
+
+    rows = spark.createDataFrame([("WE17", "3 figures lack captions"), ("WE8", "Section heading (14 bold): 31% of text is wrong (12pt: 39)"), ("WE25", "Footer is missing: no version"), ("LP3", "missing: warm_up"), ("CE1", "9 questions"), ("WE20", None)], "code string, message string")
+    got = {r.code: r for r in rows.select("code", wording.todo_line(F.col("code"), F.col("message")).alias("todo"), wording.fail_line(F.col("code"), F.col("message")).alias("fail"), wording.named_code(F.col("code")).alias("name")).collect()}
+    assert got["WE17"].todo == "To fix: Add a caption under each picture, like 'Figure 1: ...' (3 pictures). [WE17]"
+    assert got["WE8"].todo == "To fix: Some text is not the right size. It should be: section heading 14 pt, bold. [WE8]"
+    assert got["WE25"].todo == "To fix: Add the version to the footer. [WE25]" and got["LP3"].todo.endswith("out of order: missing: warm_up. [LP3]") and got["CE1"].fail == "To fix: 9 questions. [CE1]" and got["CE1"].name == "CE1 (Assessment)" and got["WE20"].todo.startswith("To fix: Add alt text to the pictures")
+    lines = spark.createDataFrame([("pass", True), ("fail", True), ("fail", False), ("unclear", True)], "v string, first boolean").select(wording.model_line(F.lit("LP1"), F.col("v"), F.lit("why"), F.col("first")).alias("l")).collect()
+    assert [r.l.split("\n")[0] for r in lines] == ["AI check, looks fine: why [LP1]", "AI check, may need fixing: why [LP1]", "Same as the AI note above: why [LP1]", "The AI could not decide this one. Please check it yourself. [LP1]"]
+    assert spark.createDataFrame([("Recognised as pop quiz from its content: x",)], "n string").select(wording.source_note(F.col("n"))).first()[0] == "Treated as a Pop Quiz, worked out from what is in the file."
+
+
+def test_profiles(tmp_path):
+    from lektor.functions import profile
+
+    path = str(tmp_path / "p.json")
+    profile.save_pattern(path, r"^ex ([0-9]+)", "exercise")
+    profile.save_pattern(path, r"^ex ([0-9]+)", "exercise")
+    own = profile.load(path)
+    assert profile.extra_patterns(own) == [r"^ex ([0-9]+)"] and own["house_rules"] == profile.PROFILE["house_rules"]
+    with pytest.raises(Exception):
+        profile.save_pattern(path, "(")
+    assert profile.merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
+
+
+def test_text_scalars(spark):
+    from lektor.functions import text as T
+
+    def one(value, f, kind="string"):
+        return spark.createDataFrame([(value,)], f"x {kind}").select(f(F.col("x")).alias("y")).first().y
+
+    assert one("غزوۂ ہ ه", T.fold) == "غزوہ ہ ہ".replace("ہ", "\u06C1") and one("قُلْ هُوَ اللَّهُ أَحَدٌ", T.is_scripture) and not one("یہ اردو ہے اور بس", T.is_scripture)
+    assert one("Lesson-3_Part-2-The-sea", T.clean_title) == "The sea"
+    assert one("Name v1.2 and version 3", T.last_version) == "3" and one("Class V 2024", T.last_version) is None
+    assert one("0:45, 1:30", T.seconds_span).secs == 90 and one("2 min", T.seconds) == 120
+    assert one("باب دوم", lambda c: T.chapter_number(c, {2: ["دوم"]})) == 2 and one("Chapter 12", lambda c: T.chapter_number(c, {})) == 12
+    assert one("1.2.3) Head", T.leading_number) == [1, 2, 3] and one("12", T.leading_number) is None
+    assert one("```json\n{}\n```", T.without_fences) == "{}" and one("a ... bb cc dd ee\nfffffff", T.pieces) == ["bb cc dd ee", "fffffff"]
+    assert one("Warm-up: " + "x" * 70, lambda c: T.run_in(c, ["Warm-up"])) == 7 and one("Note: short", lambda c: T.run_in(c, [])) is None
+    assert one([("a", 3), ("b", 5), ("c", 3)], lambda c: T.top_counts(c, 2), "array<struct<k:string,n:int>>") == "b: 5, a: 3"

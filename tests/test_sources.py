@@ -87,7 +87,7 @@ def test_package(spark, tmp_path):
     names = ["Course/Chapter 1/Lesson 2/LessonPlan-v1.docx", "Course/Spec-v0.1.docx", "Course/Spec-v1.10.docx", "Course/Spec-v1.9.docx", "Course/notes.txt", "Course/~$Spec.docx", "__MACOSX/x"]
     (tmp_path / "p.zip").write_bytes(archive({n: docx(para(n)) if n.endswith("docx") else "t" for n in names}))
     files = packages.files(spark, str(tmp_path / "p.zip"))
-    rows = {r.rel: r for r in packages.classified(files.drop("content"), [("plan", "(?i)plan"), ("spec", "(?i)spec")], {"spec": "subject"}).collect()}
+    rows = {r.rel: r for r in packages.classified(files.drop("content"), None, [("plan", "(?i)plan", "docx", "lesson"), ("spec", "(?i)spec", "docx", "subject")]).collect()}
     assert set(rows) == {"Chapter 1/Lesson 2/LessonPlan-v1.docx", "Spec-v0.1.docx", "Spec-v1.10.docx", "Spec-v1.9.docx", "notes.txt"}
     assert (rows["Chapter 1/Lesson 2/LessonPlan-v1.docx"].chapter, rows["Chapter 1/Lesson 2/LessonPlan-v1.docx"].lesson) == (1, 2)
     assert [r for r in rows if not rows[r].superseded and rows[r].doc_type == "spec"] == ["Spec-v1.10.docx"]
@@ -106,3 +106,23 @@ def test_guard():
     for bad in ([entry("../x")], [entry("/x")], [entry("a", 5 << 30)], [entry("a", 60 << 20, 1)], [entry(str(i)) for i in range(20_001)]):
         with pytest.raises(packages.UnsafeArchive):
             packages.guard(bad)
+
+
+def test_locations_and_names(spark):
+    rels = ["Chapter 2/Lesson 3 Part 2/x.docx", "Chpater-4/Lesson_5 part 1 c /y.docx", "Lesson-2b-Chapter-7-v1.docx", "notes.docx", "Chapter 1/Pop Quiz.docx", "Chapter 3/Chapter-Exam.docx", "deck.pptx", "old.pdf"]
+    rows = spark.createDataFrame([(r, r.rsplit(".", 1)[-1]) for r in rels], "rel string, ext string")
+    got = {r.rel: r for r in packages.classified(rows).collect()}
+    assert [tuple(got[r][c] for c in ("chapter", "lesson", "variant")) for r in rels[:3]] == [(2, 3, "B"), (4, 5, "C"), (7, 2, "B")]
+    assert (got[rels[4]].doc_type, got[rels[4]].chapter, got[rels[5]].doc_type, got[rels[5]].chapter, got[rels[5]].lesson) == ("pop_quiz", None, "worksheet", 3, None)
+    assert (got["deck.pptx"].doc_type, got["deck.pptx"].chapter, got["deck.pptx"].lesson, got["notes.docx"].doc_type) == ("facilitator_guide", 1, 1, None)
+    names = {r.rel: r.n for r in packages.classified(rows).select("rel", packages.new_name(F.lit("1.2"), F.lit("Grade-6")).alias("n")).collect()}
+    assert names["Chapter 1/Pop Quiz.docx"] == "Pop-Quiz-Grade-6-v1.2.docx" and names["Chapter 3/Chapter-Exam.docx"] == "Chapter-Exam-Chapter-3-v1.2.docx" and names["deck.pptx"] == "Facilitator-Guide-Lesson-1-Chapter-1-v1.2.pptx" and names["notes.docx"] is None
+
+
+def test_kinds_by_content(spark):
+    cell = lambda *texts: "<w:tbl><w:tr>" + "".join(f"<w:tc>{para(t)}</w:tc>" for t in texts) + "</w:tr></w:tbl>"
+    bodies = {"a": para("Pop Quiz for chapter 3, lesson 2"), "b": para("Introduction") + para("SLOs") + para("Key Takeaways"), "c": para("x") * 6 + para("Lesson Plan Location: 4.2"), "d": para("x") + cell("Incorrect feedback", "no"), "e": cell("Scene", "Narration"), "f": "".join(para(f"{i}. What is it?") for i in range(1, 5)), "g": para("Just text")}
+    rows = [(f"{k}.docx", *r) for k, b in bodies.items() for r in ooxml.docx_paragraphs(docx(b))]
+    got = {r.rel[0]: r for r in packages.by_content(spark.createDataFrame(rows, ooxml.PARAS)).collect()}
+    assert {k: got[k].doc_type for k in bodies} == {"a": "pop_quiz", "b": "lesson_plan", "c": "pop_quiz", "d": "data_bank", "e": "video_storyboard", "f": "chapter_exam", "g": "document"}
+    assert (got["a"].chapter, got["a"].lesson) == (3, 2)
