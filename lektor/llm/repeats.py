@@ -450,7 +450,8 @@ def losses(keyed: DataFrame, with_text: bool, n_bytes: int, hot: int = HOT) -> D
     found = tables.materialize(_contexts(_once(keyed), repeated, width, few, width * many), "repeat-contexts")
     blobs = _dealt(found.where("kind = 2").select("slot", "blob"), width, many)
     places = found.where("kind = 3").select("t", F.explode(F.arrays_zip("c", "pos")).alias("p")).select("t", "p.c", "p.pos")
-    widest = _resolve(blobs).groupBy("c").agg(F.max("l").alias("l"), F.max("r").alias("r"))  # a split anchor's contexts come back once a part
+    # a split anchor's contexts come back once a part; as a table of their own they leave the join free to deal a frequent context's places to many tasks
+    widest = tables.materialize(_resolve(blobs).groupBy("c").agg(F.max("l").alias("l"), F.max("r").alias("r")), "repeat-found")
     spans = places.join(widest, "c").select("t", (F.col("pos") - F.col("l")).alias("lo"), (F.col("pos") + GRAM + F.col("r")).alias("hi"))
     return _cut(found, spans, width, with_text)
 
