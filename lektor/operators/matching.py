@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from lektor.functions import similar
 from lektor.functions import text as T
+from lektor.sources.tables import spread
 
 RIGHT_BLOCK, SHORT_BLOCK = 10_000, 1_000
 
@@ -64,7 +65,7 @@ def similar_lines(left: DataFrame, right: DataFrame, least: float, junk: bool =
     bounds of the ratio (lengths, letters, neighbouring letters, longest common subsequence) clear most pairs before the exact ratio.
     """
     spark, schema = left.sparkSession, StructType([StructField("a", left.schema["a"].dataType), StructField("b", right.schema["b"].dataType), StructField("ratio", DoubleType())])
-    x = left.where("x is not null").select("a", "x")
+    x = spread(left.where("x is not null").select("a", "x"))
     found, block = [], []
 
     def scan() -> DataFrame:
@@ -87,7 +88,7 @@ def similar_lines(left: DataFrame, right: DataFrame, least: float, junk: bool =
 
 def terms(docs: DataFrame, key: str) -> DataFrame:
     """(key, term, f, len): term frequencies and document length."""
-    words = docs.select(key, T.tokens(F.col("text")).alias("t"))
+    words = spread(docs.select(key, "text")).select(key, T.tokens(F.col("text")).alias("t"))
     return words.select(key, F.size("t").alias("len"), F.explode("t").alias("term")).groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("f"))
 
 
@@ -102,6 +103,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: i
     ties go by document.
     """
     asked = queries.select(query_key, F.explode(T.tokens(F.col("text"))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("q"))
+    docs = spread(docs.select(doc_key, "text"))
     words = docs.select(doc_key, T.tokens(F.col("text")).alias("t")).select(doc_key, F.size("t").alias("len"), F.explode("t").alias("term"))
     tf = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy(doc_key, "len", "term").agg(F.count(F.lit(1)).alias("f"))
     size = docs.select(F.regexp_count(F.lower("text"), F.lit(T.TOKEN)).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))

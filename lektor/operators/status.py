@@ -108,7 +108,7 @@ def uploaded(findings: DataFrame, docs: DataFrame) -> DataFrame:
     return findings.crossJoin(F.broadcast(single)).where(~(F.coalesce("_single", F.lit(False)) & absent)).drop("_single")
 
 
-def overview(findings: DataFrame, registry: DataFrame) -> DataFrame:
+def checklist(findings: DataFrame, registry: DataFrame) -> DataFrame:
     """(code, text, automated, verdict, n): every rule of a registry (code, text, automated) with its findings' verdict; rules no finding answers keep their row."""
     own = findings.groupBy("code").agg(fold(F.col("status"), F.col("partial")).alias("verdict"), F.count(F.lit(1)).alias("n"))
     return registry.join(own, "code", "left").select("code", "text", F.coalesce("automated", F.lit("no")).alias("automated"), "verdict", F.coalesce("n", F.lit(0)).alias("n"))

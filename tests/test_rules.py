@@ -142,7 +142,7 @@ def test_workbook_and_outputs(spark, tmp_path):
     assert [r.doc_type for r in status.missing(docs, ["lesson_plan", "chapter_exam"]).collect()] == ["chapter_exam"]
     assert status.uploaded(findings.withColumn("code", F.when(F.col("code") == "D", "PQ1").otherwise(F.col("code"))), docs).count() == 3
     registry = spark.createDataFrame([("A", "a", "yes"), ("Z", "z", None)], "code string, text string, automated string")
-    assert {r.code: (r.automated, r.verdict, r.n) for r in status.overview(findings, registry).collect()} == {"A": ("yes", "fail", 1), "Z": ("no", None, 0)}
+    assert {r.code: (r.automated, r.verdict, r.n) for r in status.checklist(findings, registry).collect()} == {"A": ("yes", "fail", 1), "Z": ("no", None, 0)}
 
 
 def test_wording(spark):
