@@ -37,7 +37,7 @@ def section_texts(t: rules.Tables) -> DataFrame:
     spans = starts.withColumn("stop", F.lead("start").over(w))
     lines = t["paras"].where(F.trim("text") != "").select("rel", "idx", "text").join(spans, "rel").where((F.col("idx") >= F.col("start")) & (F.col("stop").isNull() | (F.col("idx") < F.col("stop"))))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.trim("text").alias("s")))), lambda x: x["s"]), "\n")
-    return lines.groupBy("rel").pivot("section", list(rules.SECTIONS)).agg(text)
+    return lines.groupBy("rel", "section").agg(text.alias("t")).groupBy("rel").pivot("section", list(rules.SECTIONS)).agg(F.first("t"))
 
 
 def subtopics(t: rules.Tables) -> DataFrame:

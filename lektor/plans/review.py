@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lektor.functions import profile as P
 from lektor.functions import text as T
-from lektor.operators import assessments, rules
+from lektor.operators import assessments, judgements, rules
 from lektor.plans.catalogue import _lines, query
 from lektor.sources.tables import table
 
@@ -471,3 +471,23 @@ def name_scalars(spark, d):
     stem = T.file_stem(F.col("rel"))
     title = T.clean_title(F.concat(F.lit("lesson-"), F.col("doc_id").cast("string"), F.lit("_"), stem))
     return rows.select("doc_id", stem.alias("stem"), title.alias("title"), T.short_key(F.col("c"), F.col("l"), F.lit("A")).alias("short"), T.outcome_label(F.col("c"), F.coalesce("l", F.lit(0)), F.col("doc_id") % 5).alias("outcome"), T.part_letter((F.col("doc_id") % 30).cast("int")).alias("letter"), T.last_version(stem).alias("version"))
+
+
+@query(f"SELECT doc_id, md5(lower({fold('text')})) AS digest FROM documents")
+def folded_form(spark, d):
+    """Digest of each whole text in the comparison form, but for compatibility composition."""
+    return table(spark, d, "documents").select("doc_id", F.md5(F.lower(T.fold(F.col("text")))).alias("digest"))
+
+
+_TEXTS = f"""WITH {SECT}, tx AS (SELECT p.rel, section, string_agg(trim(text), chr(10) ORDER BY idx) AS t FROM p JOIN spans ON p.rel = spans.rel AND idx >= start AND (stop IS NULL OR idx < stop) GROUP BY p.rel, section)
+ SELECT rel, {', '.join(f"max(t) FILTER (section = '{k}') AS {k}" for k in SECTIONS)} FROM tx GROUP BY rel"""
+
+
+@query(_TEXTS)
+def section_texts(spark, d):
+    return judgements.section_texts({"paras": paras(spark, d)})
+
+
+@query(f"""WITH {ITEMS} SELECT rel, string_agg(k || '. ' || s, chr(10) ORDER BY idx, start) AS outcomes FROM (SELECT rel, idx, start, trim(text) AS s, row_number() OVER (PARTITION BY rel ORDER BY idx, trim(text), start) AS k FROM items) GROUP BY rel""")
+def lesson_outcomes(spark, d):
+    return judgements.lesson_outcomes({"paras": paras(spark, d)})
