@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from lektor.functions import similar
+from lektor.functions import similar, votes
 from lektor.functions import text as T
 from lektor.sources.tables import spread
 
-RIGHT_BLOCK, SHORT_BLOCK = 10_000, 1_000
+RIGHT_BLOCK, SHORT_BLOCK, VOTE_ROWS, VOTE_CHARS = 10_000, 1_000, 1 << 16, 1 << 25
 
 
 def contains_pairs(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str) -> DataFrame:
@@ -49,13 +50,28 @@ def gaps(items: DataFrame, hits: DataFrame, key: str) -> DataFrame:
 
 
 def title_votes(left: DataFrame, right: DataFrame, left_key: str, right_key: str, stop: list[str] = ()) -> DataFrame:
-    """The right row that shares the most title words with each left row, where that is unique. ``stop`` words don't count."""
+    """The right row that shares the most title words with each left row, where that is unique. ``stop`` words don't count; rows of one key count as one.
+
+    The right side is dealt in blocks of at most about VOTE_ROWS rows and VOTE_CHARS characters, the left side goes to every block (and to so many
+    tasks a block that all cores have work), and only the best of a block comes back: what is moved follows the rows, not the pairs with a common word.
+    """
     words = lambda c: F.array_except(F.array_distinct(T.tokens(F.col(c))), F.array(*map(F.lit, stop))) if stop else F.array_distinct(T.tokens(F.col(c)))
-    a = left.select(left_key, F.explode(words("title")).alias("w"))
-    b = right.select(right_key, F.explode(words("title")).alias("w"))
-    votes = a.join(b, "w").groupBy(left_key, right_key).agg(F.count(F.lit(1)).alias("shared"))
-    tops = votes.groupBy(left_key).agg(F.max(F.struct("shared", right_key)).alias("m"), F.array_sort(F.collect_list("shared")).alias("_s"))
-    return tops.where((F.size("_s") == 1) | (F.element_at("_s", -1) > F.coalesce(F.try_element_at("_s", F.lit(-2)), F.lit(0)))).select(left_key, F.col(f"m.{right_key}").alias(right_key), "m.shared")
+    sets = lambda rows, key, union: rows.select(F.col(key).alias("k"), words("title").alias("w")).groupBy("k").agg(union.alias("w")).where(F.size("w") > 0)
+    union = F.flatten(F.collect_set("w"))
+    a, b = sets(left, left_key, F.array_sort(F.array_distinct(union))), sets(right, right_key, union)  # a block counts a word of a row once
+    size = right.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("title")).alias("chars")).first()
+    blocks = max(1, math.ceil(size.n / VOTE_ROWS), math.ceil((size.chars or 0) / VOTE_CHARS))
+    shares = math.ceil(left.sparkSession.sparkContext.defaultParallelism / blocks)
+    part = lambda m: F.pmod(F.xxhash64("k"), F.lit(m))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    none = lambda rows: F.lit(None).cast(rows.schema["k"].dataType)
+    rows = b.select("*", part(blocks).alias("b"), every(shares).alias("s")).select("b", "s", F.lit(0).alias("kind"), none(a).alias("_l"), F.col("k").alias("_r"), "w")
+    asked = a.select("*", every(blocks).alias("b"), part(shares).alias("s")).select("b", "s", F.lit(1).alias("kind"), F.col("k").alias("_l"), none(b).alias("_r"), "w")
+    dealt = rows.unionByName(asked).select((F.col("b") * shares + F.col("s")).cast("int").alias("cell"), "kind", "_l", "_r", "w")
+    dealt = dealt.repartitionById(blocks * shares, F.col("cell")).sortWithinPartitions("cell", "kind")
+    found = dealt.mapInArrow(votes.scan, StructType([StructField("_l", a.schema["k"].dataType), StructField("_r", b.schema["k"].dataType), StructField("ties", LongType()), StructField("shared", LongType())]))
+    tops = found.repartition("_l").groupBy("_l", "shared").agg(F.sum("ties").alias("ties"), F.first("_r").alias("_r")).groupBy("_l").agg(F.max_by(F.struct("ties", "_r"), "shared").alias("m"), F.max("shared").alias("shared"))
+    return tops.where("m.ties = 1").select(F.col("_l").alias(left_key), F.col("m._r").alias(right_key), "shared")
 
 
 def similar_lines(left: DataFrame, right: DataFrame, least: float, junk: bool = False) -> DataFrame:

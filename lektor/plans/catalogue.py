@@ -394,9 +394,9 @@ def marks_locate(spark, d):
  v AS (SELECT page_id, conv_id, count(*) AS shared FROM ta JOIN tb USING (w) GROUP BY ALL), m AS (SELECT *, max(shared) OVER (PARTITION BY page_id) AS top FROM v),
  u AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM m WHERE shared = top) SELECT page_id, conv_id, shared FROM u WHERE n = 1""")
 def title_vote(spark, d):
-    """Titles of all pages against the first turns of all conversations."""
+    """Titles of all pages against the first turns of all conversations; turns without text don't count, as in the SQL's arg_min."""
     p = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("title"))
+    c = table(spark, d, "conversations").where("text is not null").groupBy("conv_id").agg(F.min_by("text", "turn").alias("title"))
     return matching.title_votes(p, c, "page_id", "conv_id")
 
 
